@@ -41,21 +41,24 @@ def segments(offsets: np.ndarray, most: int = SEGMENT_BYTES) -> Iterator[tuple[i
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the index of each row's first word (one more at the end)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the index of each row's first word (one more at the end).
+
+    ``between`` says for each byte whether it lies between words.
+    """
     starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in segments(offsets):
-        s, e, _ = _bounds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        s, e, _ = _bounds(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], between)
         starts.append(s + offsets[a])
         ends.append(e + offsets[a])
     whole = np.concatenate(starts)
     return whole, np.concatenate(ends), np.searchsorted(whole, offsets)
 
 
-def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(word)

@@ -9,10 +9,13 @@ their sets' Jaccard similarity is ``num / den`` or more.
    that a third of all documents hold come last. How exact the sketch is moves cost, never results.
 3. Classes that share such a token are partitioned into groups of similar ones: those of rarely shared
    tokens are compared with each other; for a token that more than ``FEW`` classes share, each with
-   the least of them. The classes linked so far form the groups.
+   the least of them. Before sets are read, a pair must pass a bound: each class has the counts of its
+   tokens in hashed bins, a quarter as many bins as tokens, and the sum over bins of the smaller
+   count is the most that two sets can share. The classes linked so far form the groups.
 4. The token-group matrix holds each group's token union. A class that shares a frequent token with
    another group asks its row there: only if the group's union holds num/den of the class's tokens
-   can a member link with it, and only such groups are opened and their members compared.
+   can a member link with it, and only such groups are opened and their members compared. A group of
+   one class is bounded by bins, as in 3.
 5. The links' connected components are the result.
 
 Members of one group needn't be compared any more, and no group is held by one task: unions, overlaps
@@ -34,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import from_planes, planes
 from tessera.llm.components import components
 from tessera.llm.store import written
 from tessera.llm.text import mix, segments, utf8, window_hashes, word_hashes
@@ -74,7 +78,7 @@ def _count(words: int):
             for at in _cells(tokens):
                 cells += np.bincount(at, minlength=len(cells)).astype(np.uint32)
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()])], ["cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([planes(cells)])], ["cells"])
 
     return count
 
@@ -83,9 +87,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint64)
     for batch in batches:
         for raw in batch.column("cells"):
-            total += np.frombuffer(raw.as_py(), np.uint32)
+            total += from_planes(raw.as_py(), np.uint32)
     if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()])], ["cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([planes(np.minimum(total, 2**32 - 1).astype(np.uint32))])], ["cells"])
 
 
 def token_levels(texts: DataFrame, words: int) -> np.ndarray:
@@ -94,25 +98,58 @@ def token_levels(texts: DataFrame, words: int) -> np.ndarray:
     for width in (32, 1):
         parts = parts.repartition(width).mapInArrow(_add, "cells binary")
     row = parts.collect()  # one at most
-    cells = np.frombuffer(row[0]["cells"], np.uint32) if row else np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint32)
+    cells = from_planes(row[0]["cells"], np.uint32) if row else np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint32)
     return np.floor(4 * np.log2(1.0 + cells)).astype(np.uint8)
 
 
+def bin_counts(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each bin; the number of bins is a power of two, about a quarter of the tokens'."""
+    width = 1 << max(3, int(len(tokens) // 4).bit_length())
+    return np.minimum(np.bincount((mix(tokens) & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def shared_at_most(x: bytes, y: bytes) -> int:
+    """The most tokens that two sets can share, by their bins' counts (full bins: no bound)."""
+    a, b = sorted((np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y)), key=len)
+    if max(a.max(), b.max()) == 255:
+        return int(np.iinfo(np.int64).max // 1000)
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
+
+
+def _bounded(num: int, den: int):
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            sizes = (batch.column("nx").to_numpy() + batch.column("ny").to_numpy()).tolist()
+            keep = pa.array([(num + den) * shared_at_most(x, y) >= num * n for x, y, n in zip(xs, ys, sizes, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return bounded
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and bins leave possible."""
+    side = lambda at, n, bins: classes.select(F.col("c").alias(at), F.col("n").alias(n), F.col("bins").alias(bins))
+    sized = pairs.join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").where(_fit("nx", "ny", num, den))
+    return sized.select("a", "b", "nx", "ny", "x", "y").mapInArrow(_bounded(num, den), "a long, b long")
+
+
 def _prefixes(words: int, num: int, den: int, levels):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
         for batch in batches:
-            sizes, names, keys = [], [], []
+            sizes, names, keys, bins = [], [], [], []
             for tokens in _sets(batch.column("text"), words):
                 n = len(tokens)
                 sizes.append(n)
                 names.append(np.uint64(0) if not n else mix(np.array([mix(tokens).sum() ^ np.uint64(n)]))[0])
                 most = n - (num * n + den - 1) // den + 1 if n else 0
+                bins.append(bin_counts(tokens))
                 level = np.minimum(*(table[at] for at in _cells(tokens))) if n else tokens
                 keys.append(tokens[np.lexsort((tokens, level))[:most]].astype(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(np.array(names, np.uint64).astype(np.int64), pa.int64()), lists], ["id", "n", "c", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(np.array(names, np.uint64).astype(np.int64), pa.int64()), lists, pa.array(bins, pa.binary())], ["id", "n", "c", "keys", "bins"])
 
     return prefixes
 
@@ -146,41 +183,48 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(token_levels(rows.select("text"), words))
-    docs = written(rows.mapInArrow(_prefixes(words, num, den, levels), "id long, n int, c long, keys array<long>"), "prefixes")
-    classes = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+    docs = written(rows.mapInArrow(_prefixes(words, num, den, levels), "id long, n int, c long, keys array<long>, bins binary"), "prefixes")
+    classes = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
+    classes = written(classes, "classes")
 
-    held = classes.where("id is not null").select("c", "id", "n", F.explode("keys").alias("key")).repartition("key")
+    held = classes.where("id is not null").select("c", "n", F.explode("keys").alias("key")).repartition("key")
     spread = held.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("hub")).where("d > 1")
     shared = written(held.join(spread, "key"), "shared")
     few = shared.where(F.col("d") <= FEW).select("key", "c", "n")
     near = few.alias("x").join(few.alias("y"), "key").where("x.c < y.c").where(_fit("x.n", "y.n", num, den)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     star = shared.where((F.col("d") > FEW) & (F.col("c") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("c").alias("b"))
-    pairs = written(near.unionByName(star).distinct(), "pairs")
+    pairs = written(_possible(near.unionByName(star).distinct(), classes, num, den), "pairs")
+
+    def read(wanted: DataFrame) -> DataFrame:
+        """The whole sets of these classes."""
+        ids = wanted.join(classes.select("c", "id"), "c").select("id").distinct()
+        found = rows.join(ids, "id", "left_semi").select("text").mapInArrow(_whole(words), "c long, tokens array<long>")
+        return written(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "sets")
 
-    frequent = shared.where(F.col("d") > FEW).select("key", "c", "n", "id")
-    asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(frequent.select("c")).distinct()
-    wanted = asked.join(classes.select("c", "id"), "c").select("id").distinct()
-    sets = written(rows.join(wanted, "id", "left_semi").select("text").mapInArrow(_whole(words), "c long, tokens array<long>").join(asked, "c", "left_semi").dropDuplicates(["c"]), "sets")
-    links = written(_linked(pairs, sets, num, den), "links")
+    ends = lambda p: p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
+    links = written(_linked(pairs, read(ends(pairs)), num, den), "links")
     groups = components(links)
 
-    members = written(frequent.join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label", "id"), "members")
+    frequent = shared.where(F.col("d") > FEW).select("key", "c", "n")
+    members = written(frequent.join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label"), "members")
     per_key = members.select("key", "g").distinct()
     several = per_key.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     sizes = members.select("g", "c").distinct().groupBy("g").agg(F.count("*").alias("size"))
     contested = members.join(several, "key", "left_semi").join(sizes, "g")
     offered = per_key.join(several, "key", "left_semi").join(sizes, "g").select("key", F.col("g").alias("to"), F.col("size").alias("to_size"))
-    asks = contested.join(offered, "key").where("g <> to").where(F.struct("to_size", "to") > F.struct("size", "g")).select("c", "n", "to").distinct()
+    asks = contested.join(offered, "key").where("g <> to").where(F.struct("to_size", "to") > F.struct("size", "g")).select("c", "n", "to", "to_size").distinct()
     asks = written(asks, "asks")
     extra = None
     if not asks.isEmpty():
-        opened = asks.select("to").distinct()
-        inside = members.select(F.col("g").alias("to"), F.col("c").alias("m"), F.col("n").alias("mn")).distinct().join(opened, "to", "left_semi")
+        single = written(_possible(asks.where("to_size = 1").select(F.col("c").alias("a"), F.col("to").alias("b")), classes, num, den), "pairs")
+        wide = asks.where("to_size > 1").select("c", "n", "to")
+        inside = members.select(F.col("g").alias("to"), F.col("c").alias("m"), F.col("n").alias("mn")).distinct().join(wide.select("to").distinct(), "to", "left_semi")
+        sets = read(ends(single).unionByName(wide.select("c")).unionByName(inside.select(F.col("m").alias("c"))).distinct())
         matrix = inside.join(sets.select(F.col("c").alias("m"), "tokens"), "m").select("to", F.explode("tokens").alias("token")).distinct()
-        overlaps = asks.join(sets, "c").select("c", "n", "to", F.explode("tokens").alias("token")).join(matrix, ["to", "token"]).groupBy("c", "n", "to").agg(F.count("*").alias("overlap"))
+        overlaps = wide.join(sets, "c").select("c", "n", "to", F.explode("tokens").alias("token")).join(matrix, ["to", "token"]).groupBy("c", "n", "to").agg(F.count("*").alias("overlap"))
         qualifying = overlaps.where(den * F.col("overlap") >= num * F.col("n"))
-        candidates = qualifying.join(inside, "to").where(_fit("n", "mn", num, den)).select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
-        extra = written(_linked(candidates, sets, num, den), "links")
+        opened = qualifying.join(inside, "to").where(_fit("n", "mn", num, den)).select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
+        extra = written(_linked(_possible(opened, classes, num, den).unionByName(single), sets, num, den), "links")
     labels = groups if extra is None or extra.isEmpty() else components(links.unionByName(extra))
 
     named = classes.select("c", "id").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))

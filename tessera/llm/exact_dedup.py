@@ -11,8 +11,7 @@ joins them. A row then finds its group by digest alone where the digest has one
 1 to 3 have shown, and by digest and content where it has more.
 
 Null text counts as empty. Among rows of one content the largest id stays; where ids tie, as in
-repeated rows, each of the tied rows is marked as kept under that id only if ``unique_rows`` of them
-is asked for by the caller. A null id is smaller than any other; a group of null ids only keeps null.
+repeated rows, each of the tied rows is marked as kept, and ``deduplicated`` keeps one. A null id is smaller than any other; a group of null ids only keeps null.
 An empty table gives an empty result. Only the id and the text column are read.
 """
 
@@ -62,6 +61,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows of which the id is the one kept, each id once, with all columns."""
-    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """The input's rows of which the id is the one kept, once each, with all columns.
+
+    A row without an id stays, once for each text, if no row of its text has an id.
+    """
+    found = exact_dedup(df, id_col, text_col).where("kept")
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    kept = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+    rows = df.withColumn("__digest", digest)
+    with_id = rows.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi").dropDuplicates([id_col, "__digest"])
+    nameless = found.where(F.col(id_col).isNull()).select(F.col("text_sha256").alias("__kept")).distinct()
+    without = rows.where(F.col(id_col).isNull()).join(nameless, F.col("__digest") == F.col("__kept"), "left_semi").dropDuplicates(["__digest"])
+    return with_id.unionByName(without).drop("__digest")

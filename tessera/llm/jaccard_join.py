@@ -237,6 +237,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The input's rows that are the least id of their component, each id once, with all columns."""
-    kept = jaccard_components(df, id_col, text_col, **parameters).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """The input's rows that are the least id of their component, each id once, with all columns.
+
+    Rows without an id, which no component names, stay.
+    """
+    kept = jaccard_components(df, id_col, text_col, **parameters).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
+    named = df.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(df.where(F.col(id_col).isNull()))

@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,6 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
 )
 KINDS = ("assign", "access", "hex", "mixed")
-_HINT = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re.IGNORECASE)
-_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{20,}(?![A-Za-z0-9])")
 _RUN = re.compile(r"[A-Za-z0-9]{20,}")
 SCHEMA = "row_id long, id long, repository string, owner string, spans array<struct<kind:int, start:long, end:long, hash:binary>>"
 
@@ -99,3 +98,29 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found_rows.unionByName(every.where("n = 0").select("id", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))).select(
         F.col("id").alias(id_col), F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)).alias("spans")
     )
+
+
+def _redacted(text: pd.Series, starts: pd.Series, ends: pd.Series, mark: pd.Series) -> pd.Series:
+    out = []
+    for t, begin, end, m in zip(text, starts, ends, mark, strict=True):
+        if begin is not None and len(begin):
+            parts, at = [], 0
+            for s, e in zip(begin, end, strict=True):
+                if s >= at:
+                    parts += [t[at:s], m]
+                at = max(at, e)
+            t = "".join([*parts, t[at:]])
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
+def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **parameters) -> DataFrame:
+    """The input with the live-looking spans of its texts replaced by ``mark``; overlapping spans become one.
+
+    Widely copied examples stay. Rows of one id are scanned together, so ids should be distinct.
+    """
+    live = F.filter("spans", lambda s: s["live"])
+    found = scan_secrets(df, id_col, text_col, **parameters).select(F.col(id_col).alias("__id"), live.alias("__spans")).where(F.size("__spans") > 0)
+    rows = df.join(found.dropDuplicates(["__id"]), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    text = F.pandas_udf(_redacted, "string")(F.col(text_col), F.col("__spans.start"), F.col("__spans.end"), F.lit(mark))
+    return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(text)).select(*df.columns)

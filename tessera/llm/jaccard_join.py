@@ -4,12 +4,14 @@ A document is its set of distinct word shingles, as 64-bit hashes (``tokens``);
 their sets' Jaccard similarity is ``num / den`` or more.
 
 1. Documents of one set are one class, so exact copies never meet as pairs.
-2. Tokens are ordered from rare to frequent, by a count-min sketch of fixed size. Linked classes share
-   one of the first (1 - num/den) of their tokens in any fixed order, and in this one the passages
-   that a third of all documents hold come last. How exact the sketch is moves cost, never results.
+2. Tokens are ordered from rare to frequent, by a count-min sketch of fixed size that counts how often
+   a token repeats within a batch of documents. Linked classes share one of the first (1 - num/den)
+   of their tokens in any fixed order, and in this one the passages that a third of all documents
+   hold come last. How exact the sketch is moves cost, never results. The first token that two sets
+   share also bounds what they share by what follows it in each, and pairs are held to that bound.
 3. Classes that share such a token are partitioned into groups of similar ones: those of rarely shared
    tokens are compared with each other; for a token that more than ``FEW`` classes share, each with
-   the least of them. Before sets are read, a pair must pass a bound: each class has the counts of its
+   the one that has it earliest, which has the least of its own. Before sets are read, a pair must pass a bound: each class has the counts of its
    tokens in hashed bins, a quarter as many bins as tokens, and the sum over bins of the smaller
    count is the most that two sets can share. The classes linked so far form the groups.
 4. The token-group matrix holds each group's token union. A class that shares a frequent token with
@@ -43,7 +45,7 @@ from tessera.llm.store import written
 from tessera.llm.text import mix, segments, utf8, window_hashes, word_hashes
 
 FEW = 8
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SKETCH_ROWS = 2
 _ROW_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BATCH_BYTES = 2 << 20
@@ -74,8 +76,8 @@ def _count(words: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint32)
         for batch in batches:
-            tokens = np.concatenate([np.zeros(0, np.uint64), *_sets(batch.column("text"), words)])
-            for at in _cells(tokens):
+            tokens = np.sort(np.concatenate([np.zeros(0, np.uint64), *_sets(batch.column("text"), words)]))
+            for at in _cells(tokens[1:][tokens[1:] == tokens[:-1]]):
                 cells += np.bincount(at, minlength=len(cells)).astype(np.uint32)
         if cells.any():
             yield pa.RecordBatch.from_arrays([pa.array([planes(cells)])], ["cells"])
@@ -93,7 +95,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_levels(texts: DataFrame, words: int) -> np.ndarray:
-    """Frequency levels, one byte for each cell of a sketch of all texts; 2 MB, whatever the corpus."""
+    """Frequency levels, one byte for each cell of a sketch of all texts; 4 MB, whatever the corpus."""
     parts = texts.mapInArrow(_count(words), "cells binary")
     for width in (32, 1):
         parts = parts.repartition(width).mapInArrow(_add, "cells binary")
@@ -178,6 +180,11 @@ def _fit(x: str, y: str, num: int, den: int) -> F.Column:
     return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
 
+def _reach(x: str, y: str, num: int, den: int) -> F.Column:
+    """Whether what follows the shared token in x leaves enough to share."""
+    return (F.col(f"{x}.n") - F.col(f"{x}.i")) * (num + den) >= num * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (the least id reachable by links)."""
     spark = df.sparkSession
@@ -187,12 +194,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
     classes = written(classes, "classes")
 
-    held = classes.where("id is not null").select("c", "n", F.explode("keys").alias("key")).repartition("key")
-    spread = held.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("hub")).where("d > 1")
+    held = classes.where("id is not null").select("c", "n", F.posexplode("keys").alias("i", "key")).repartition("key")
+    spread = held.groupBy("key").agg(F.count("*").alias("d"), F.min("i").alias("first")).where("d > 1")
     shared = written(held.join(spread, "key"), "shared")
-    few = shared.where(F.col("d") <= FEW).select("key", "c", "n")
-    near = few.alias("x").join(few.alias("y"), "key").where("x.c < y.c").where(_fit("x.n", "y.n", num, den)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-    star = shared.where((F.col("d") > FEW) & (F.col("c") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("c").alias("b"))
+    few = shared.where(F.col("d") <= FEW).select("key", "c", "n", "i")
+    near = few.alias("x").join(few.alias("y"), "key").where("x.c < y.c").where(_fit("x.n", "y.n", num, den) & _reach("x", "y", num, den) & _reach("y", "x", num, den)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    frequent = shared.where(F.col("d") > FEW)
+    hubs = frequent.where("i = first").groupBy("key").agg(F.min("c").alias("hub"))
+    star = frequent.join(hubs, "key").where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
     pairs = written(_possible(near.unionByName(star).distinct(), classes, num, den), "pairs")
 
     def read(wanted: DataFrame) -> DataFrame:
@@ -205,14 +214,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = written(_linked(pairs, read(ends(pairs)), num, den), "links")
     groups = components(links)
 
-    frequent = shared.where(F.col("d") > FEW).select("key", "c", "n")
-    members = written(frequent.join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label"), "members")
-    per_key = members.select("key", "g").distinct()
+    members = written(frequent.select("key", "c", "n", "i").join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label"), "members")
+    per_key = members.groupBy("key", "g").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("i")).alias("rest"))
     several = per_key.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     sizes = members.select("g", "c").distinct().groupBy("g").agg(F.count("*").alias("size"))
     contested = members.join(several, "key", "left_semi").join(sizes, "g")
-    offered = per_key.join(several, "key", "left_semi").join(sizes, "g").select("key", F.col("g").alias("to"), F.col("size").alias("to_size"))
-    asks = contested.join(offered, "key").where("g <> to").where(F.struct("to_size", "to") > F.struct("size", "g")).select("c", "n", "to", "to_size").distinct()
+    offered = per_key.join(several, "key", "left_semi").join(sizes, "g").select("key", F.col("g").alias("to"), F.col("size").alias("to_size"), "least_n", "most_n", "rest")
+    partner = F.greatest(F.col("least_n"), F.ceil(F.col("n") * num / den))  # the least size that a member can have
+    enough = lambda rest: rest * (num + den) >= num * (F.col("n") + partner)
+    fits = (F.col("most_n") * den >= F.col("n") * num) & (F.col("least_n") * num <= F.col("n") * den) & enough(F.col("n") - F.col("i")) & enough(F.col("rest"))
+    asks = contested.join(offered, "key").where("g <> to").where(F.struct("to_size", "to") > F.struct("size", "g")).where(fits).select("c", "n", "to", "to_size").distinct()
     asks = written(asks, "asks")
     extra = None
     if not asks.isEmpty():

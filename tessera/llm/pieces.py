@@ -35,7 +35,7 @@ SPACE_MARK = "▁"
 BYTE_COST = 12.0
 SHARPNESS = 3.0
 LONG = 48
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, BATCH_IDS = 3 << 20, 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xD6E8FEB86659FD93)
 
@@ -237,14 +237,12 @@ def encode(df: DataFrame, model_path: str, key_col: str = "doc_id", text_col: st
             column = batch.column("__text")
             data, offsets = utf8(column)
             keys = batch.column("__key").to_numpy().view(np.uint64)
-            ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in segments(offsets, BATCH_BYTES):
                 found, bounds = sample(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], keys[a:b], words, seed)
-                ids.append(found)
-                counts.append(np.diff(bounds))
-            ends = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(counts)))), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()), mask=column.is_null() if column.null_count else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], [*names, "ids"])
+                part = batch.slice(a, b - a)
+                missing = part.column("__text").is_null()
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found, pa.int32()), mask=missing)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], [*names, "ids"])
 
     schema = df.select(*names).schema.add("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(run, schema)
@@ -258,14 +256,16 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model_path)
         for batch in batches:
-            lists = batch.column(ids_col)
-            ids = np.asarray(lists.flatten())
-            widths = words.width[ids]
-            place = np.concatenate(([0], np.cumsum(widths)))
-            raw = words.bytes[np.repeat(words.begin[ids] - place[:-1], widths) + np.arange(place[-1])].tobytes()
-            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
-            bounds = place[ends].tolist()
-            texts = [None if missing else raw[a:b].decode() for a, b, missing in zip(bounds[:-1], bounds[1:], lists.is_null().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], [*names, text_col])
+            sizes = batch.column(ids_col).value_lengths().fill_null(0).to_numpy()
+            for a, b in segments(np.concatenate(([0], np.cumsum(sizes))), BATCH_IDS):
+                part = batch.slice(a, b - a)
+                lists = part.column(ids_col)
+                ids = np.asarray(lists.flatten())
+                widths = words.width[ids]
+                place = np.concatenate(([0], np.cumsum(widths)))
+                raw = words.bytes[np.repeat(words.begin[ids] - place[:-1], widths) + np.arange(place[-1])].tobytes()
+                bounds = place[np.concatenate(([0], np.cumsum(sizes[a:b])))].tolist()
+                texts = [None if missing else raw[x:y].decode() for x, y, missing in zip(bounds[:-1], bounds[1:], lists.is_null().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(texts, pa.string())], [*names, text_col])
 
     return df.select(*names, ids_col).mapInArrow(run, schema)

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.text import segments, utf8
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES, LEVEL = 6 << 20, 6
 SCHEMA = "block long, payload binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count, task = 0, TaskContext.get().partitionId()
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
     for batch in batches:
         _, offsets = utf8(batch.column("text"))
         for a, b in segments(offsets, BLOCK_BYTES):

@@ -184,8 +184,8 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        for block, payload in zip(frame["block"], frame["payload"], strict=True):
-            yield unpack(payload).select(["id"]).to_pandas().dropna().astype("int64").drop_duplicates().assign(block=block)
+        for group, payload in zip(frame["group"], frame["payload"], strict=True):
+            yield unpack(payload).select(["id"]).to_pandas().dropna().astype("int64").assign(group=group)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
@@ -194,9 +194,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     held = blocks(rows).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).repartition("group")
     good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("q")).where("q = 1").select("id")
-    trusted = held.select("block", "payload").mapInPandas(_ids, "id long, block long").join(good, "id")
-    by_block = trusted.groupBy("block").agg(F.collect_list("id").alias("trusted"))
-    counted = held.join(by_block, "block").select("payload", "trusted").mapInArrow(_count, "gram long, n long")
+    trusted = held.select("group", "payload").mapInPandas(_ids, "id long, group long").join(good, "id")
+    by_group = trusted.groupBy("group").agg(F.collect_set("id").alias("trusted"))
+    counted = held.join(by_group, "group").select("payload", "trusted").mapInArrow(_count, "gram long, n long")
     counts = written(counted.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     any_trusted = not counts.isEmpty()
     if any_trusted:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tessera.plans.registry import QUERIES, SQL
 
-MODULES = ("q_telemetry",)
+MODULES = ("q_telemetry", "q_sessions")
 
 
 def _load() -> None:

@@ -44,7 +44,7 @@ FROM conversations
 TASKS = """
 SELECT o_orderkey AS task_id, o_custkey AS session_id, {ts} AS created_at_ms,
   {ts} + 1000 * (o_orderkey % 50) AS updated_at_ms,
-  CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'queued' ELSE 'running' END
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'queued' ELSE 'running' END
     ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'cancelled' END END AS status,
   CASE WHEN o_orderkey % 4 = 0 AND o_orderkey > 8 THEN o_orderkey - 4 END AS parent_task_id
 FROM orders

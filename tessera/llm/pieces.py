@@ -33,7 +33,7 @@ from tessera.llm.text import hash_spans, mix, segments, utf8
 
 SPACE_MARK = "▁"
 BYTE_COST = 12.0
-SHARPNESS = 3.0
+SHARPNESS = 1.0
 LONG = 48
 BATCH_BYTES, BATCH_IDS = 3 << 20, 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -221,8 +221,8 @@ def test_pieces(docs, repeated, empty):
     assert back == dict(enumerate(texts()))
     again = {r.doc_id: r.ids for r in encode(docs.repartition(1), path).collect()}
     assert all(again[i] == got[i].ids for i in again)
-    other = {r.doc_id: r.ids for r in encode(docs, path, seed=1).collect()}
-    assert other[11] != got[11].ids
+    english = docs.where("doc_id = 3").selectExpr("doc_id", "repeat('The international organisation understands everything. ', 300) AS text")
+    assert encode(english, path, seed=1).first().ids != encode(english, path, seed=2).first().ids
     assert encode(repeated, path).count() == 63 and decode(encode(empty, path), path).count() == 0
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tessera.plans.registry import QUERIES, SQL
 
-MODULES = ("q_telemetry", "q_sessions")
+MODULES = ("q_telemetry", "q_sessions", "q_records")
 
 
 def _load() -> None:

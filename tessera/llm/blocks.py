@@ -7,13 +7,16 @@ again, shuffle blocks instead of rows: compressed, and each as a unit. A block i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.llm.store import partitions, shared_folder
 from tessera.llm.text import segments, utf8
 
 BLOCK_BYTES, LEVEL = 6 << 20, 6
@@ -40,6 +43,20 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_pack, SCHEMA)
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` as blocks in ``group``s, as many as shuffle partitions, written once to the shared folder.
+
+    The table is bucketed by group, so that several jobs can join blocks by group without a shuffle
+    of their own; a task writes a file for each group that it has blocks of.
+    """
+    spark = rows.sparkSession
+    groups = min(partitions(spark), 100_000)
+    name = f"blocks_{uuid.uuid4().hex}"
+    held = blocks(rows).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    held.write.bucketBy(groups, "group").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def unpack(payload: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(payload) as stream:
         return stream.read_next_batch()

@@ -3,8 +3,8 @@
 The model's symbols are the bytes of UTF-8 and its order is four, so its n-grams are exact 32-bit
 numbers and a document of any script can be scored; each text is read after three line feeds.
 
-1. Documents become compressed blocks, dealt to as many groups as there are shuffle partitions. This
-   is the only time that text is shuffled. Ids meet the labels without their texts.
+1. Documents become compressed blocks, in as many groups as there are shuffle partitions, written
+   once, bucketed by group, so that text is never shuffled. Ids meet the labels without their texts.
 2. Counts of all trusted documents' n-grams are summed over the corpus; continuation counts, context
    sums, and the three discounts of each order follow from them by aggregations.
 3. Each group asks for its distinct n-grams. The corpus's distinct n-grams join the sharded counts of
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import blocks, unpack
-from tessera.llm.store import partitions, written
+from tessera.llm.blocks import grouped, unpack
+from tessera.llm.store import written
 from tessera.llm.text import segments, utf8
 
 ORDER = 4
@@ -190,9 +190,8 @@ def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """One row for each input row: id, lang, n_bytes, perplexity, low, high (the thresholds), kept."""
-    groups = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    held = blocks(rows).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).repartition("group")
+    held = grouped(rows)
     good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("q")).where("q = 1").select("id")
     trusted = held.select("group", "payload").mapInPandas(_ids, "id long, group long").join(good, "id")
     by_group = trusted.groupBy("group").agg(F.collect_set("id").alias("trusted"))

@@ -6,7 +6,7 @@ star is no hot key; written tables cut the lineage of the loop. The number of ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.store import written
@@ -24,13 +24,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a written table, and sums, taken while writing, that tell two tables apart."""
+    seen = Observation()
+    hashed = F.xxhash64("u", "v")
+    sums = (F.count(F.lit(1)).alias("n"), F.sum(hashed % 1_000_003).alias("s"), F.sum(F.shiftright(hashed, 32)).alias("t"))
+    return written(edges.observe(seen, *sums), "edges"), seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """For each node of ``edges`` (a, b, both long): c, label, the least node it is connected with."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now, sums = _kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
-        after = written(_star(_star(now, True), False), "edges")
-        sums = [d.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first() for d in (now, after)]
-        if sums[0] == sums[1]:
+        now, after = _kept(_star(_star(now, True), False))
+        if after == sums:
             break
-        now = after
-    return after.select(F.col("u").alias("c"), F.col("v").alias("label")).unionByName(after.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
+        sums = after
+    return now.select(F.col("u").alias("c"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())

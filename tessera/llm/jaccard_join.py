@@ -45,7 +45,7 @@ from tessera.llm.store import written
 from tessera.llm.text import mix, segments, utf8, window_hashes, word_hashes
 
 FEW = 8
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 SKETCH_ROWS = 2
 _ROW_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BATCH_BYTES = 2 << 20
@@ -85,23 +85,27 @@ def _count(words: int):
     return count
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint64)
-    for batch in batches:
-        for raw in batch.column("cells"):
-            total += from_planes(raw.as_py(), np.uint32)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array([planes(np.minimum(total, 2**32 - 1).astype(np.uint32))])], ["cells"])
+def _add(levels: bool):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint32)
+        for batch in batches:
+            for raw in batch.column("cells"):
+                more = from_planes(raw.as_py(), np.uint32)
+                total += np.minimum(more, np.iinfo(np.uint32).max - total)
+        if total.any():
+            out = np.floor(4 * np.log2(1 + total.astype(np.float32))).astype(np.uint8).tobytes() if levels else planes(total)
+            yield pa.RecordBatch.from_arrays([pa.array([out])], ["cells"])
+
+    return add
 
 
 def token_levels(texts: DataFrame, words: int) -> np.ndarray:
-    """Frequency levels, one byte for each cell of a sketch of all texts; 4 MB, whatever the corpus."""
+    """Frequency levels, one byte for each cell of a sketch of all texts; 2 MB, whatever the corpus."""
     parts = texts.mapInArrow(_count(words), "cells binary")
     for width in (32, 1):
-        parts = parts.repartition(width).mapInArrow(_add, "cells binary")
+        parts = parts.repartition(width).mapInArrow(_add(width == 1), "cells binary")
     row = parts.collect()  # one at most
-    cells = from_planes(row[0]["cells"], np.uint32) if row else np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint32)
-    return np.floor(4 * np.log2(1.0 + cells)).astype(np.uint8)
+    return np.frombuffer(row[0]["cells"], np.uint8) if row else np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint8)
 
 
 def bin_counts(tokens: np.ndarray) -> bytes:

@@ -19,6 +19,11 @@ def capped(x: Column, most: float) -> Column:
     return F.least(F.coalesce(x, F.lit(0.0)) / F.lit(most), F.lit(1.0))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Half-up rounding of the decimal value, which ties in binary don't disturb."""
+    return F.round(x.cast("decimal(24,12)"), places).cast("double")
+
+
 def reliability(words: Column) -> Column:
     out = F.lit("ok_strong")
     for name, below in reversed(RELIABILITY):

@@ -33,10 +33,10 @@ def strategy_ranking(audit: DataFrame, now_ms: int) -> DataFrame:
         F.avg("recovery_turns").alias("recovery"),
     )
     return out.select(
-        "category", "strategy", "runs", "runs_last_24h", F.round("success_rate", 6).alias("success_rate"), F.round("delta", 4).alias("avg_delta"), F.round("latency", 0).alias("avg_latency_ms"),
-        F.round("cost", 7).alias("avg_cost_usd"), F.round("regret", 4).alias("avg_regret"), F.round("recovery", 2).alias("avg_recovery_turns"),
-        F.round(S.capped(F.col("latency"), S.MILLIS), 3).alias("avg_latency_penalty"), F.round(S.capped(F.col("cost"), S.DOLLARS), 4).alias("avg_cost_penalty"),
-        F.round(S.capped(F.col("latency"), S.MILLIS) + S.capped(F.col("cost"), S.DOLLARS), 3).alias("aggressiveness"),
+        "category", "strategy", "runs", "runs_last_24h", S.rounded(F.col("success_rate"), 6).alias("success_rate"), S.rounded(F.col("delta"), 4).alias("avg_delta"), S.rounded(F.col("latency"), 0).alias("avg_latency_ms"),
+        S.rounded(F.col("cost"), 7).alias("avg_cost_usd"), S.rounded(F.col("regret"), 4).alias("avg_regret"), S.rounded(F.col("recovery"), 2).alias("avg_recovery_turns"),
+        S.rounded(S.capped(F.col("latency"), S.MILLIS), 3).alias("avg_latency_penalty"), S.rounded(S.capped(F.col("cost"), S.DOLLARS), 4).alias("avg_cost_penalty"),
+        S.rounded(S.capped(F.col("latency"), S.MILLIS) + S.capped(F.col("cost"), S.DOLLARS), 3).alias("aggressiveness"),
     ).orderBy(F.desc("success_rate"), "avg_regret", "category", "strategy")
 
 

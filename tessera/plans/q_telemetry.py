@@ -24,10 +24,10 @@ _RANKING = f"""{_A}, g AS (
     avg(coalesce(estimated_cost_usd, 0)) AS cost, avg(coalesce(regret_estimate, 0)) AS regret, avg(recovery_turns) AS recovery
   FROM audit GROUP BY 1, 2),
 ranking AS (
-  SELECT category, strategy, runs, runs_last_24h, round(success, 6) AS success_rate, round(delta, 4) AS avg_delta, round(latency, 0) AS avg_latency_ms,
-    round(cost, 7) AS avg_cost_usd, round(regret, 4) AS avg_regret, round(recovery, 2) AS avg_recovery_turns,
-    round(least(latency / 15000, 1e0), 3) AS avg_latency_penalty, round(least(cost / 0.001e0, 1e0), 4) AS avg_cost_penalty,
-    round(least(latency / 15000, 1e0) + least(cost / 0.001e0, 1e0), 3) AS aggressiveness FROM g)
+  SELECT category, strategy, runs, runs_last_24h, CAST(round(CAST(success AS DECIMAL(24, 12)), 6) AS DOUBLE) AS success_rate, CAST(round(CAST(delta AS DECIMAL(24, 12)), 4) AS DOUBLE) AS avg_delta, CAST(round(CAST(latency AS DECIMAL(24, 12)), 0) AS DOUBLE) AS avg_latency_ms,
+    CAST(round(CAST(cost AS DECIMAL(24, 12)), 7) AS DOUBLE) AS avg_cost_usd, CAST(round(CAST(regret AS DECIMAL(24, 12)), 4) AS DOUBLE) AS avg_regret, CAST(round(CAST(recovery AS DECIMAL(24, 12)), 2) AS DOUBLE) AS avg_recovery_turns,
+    CAST(round(CAST(least(latency / 15000, 1e0) AS DECIMAL(24, 12)), 3) AS DOUBLE) AS avg_latency_penalty, CAST(round(CAST(least(cost / 0.001e0, 1e0) AS DECIMAL(24, 12)), 4) AS DOUBLE) AS avg_cost_penalty,
+    CAST(round(CAST(least(latency / 15000, 1e0) + least(cost / 0.001e0, 1e0) AS DECIMAL(24, 12)), 3) AS DOUBLE) AS aggressiveness FROM g)
 """
 _JUDGED = f"""{_RANKING}, rated AS (
   SELECT *, round(success_rate * least(sqrt(runs) / sqrt(16e0), 1e0) * (1e0 / (1e0 + least(avg_latency_ms / 15000e0, 1e0) + least(avg_cost_usd / 0.001e0, 1e0))), 3) AS confidence

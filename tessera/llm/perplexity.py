@@ -37,7 +37,7 @@ from tessera.llm.text import segments, utf8
 
 ORDER = 4
 LOW, HIGH, MARGIN = 0.001, 0.994, 0.03
-SLOT_BITS = 21
+SLOT_BITS, FEW_LANGUAGES = 21, 10_000
 _LEAD = b"\n" * (ORDER - 1)
 
 
@@ -209,6 +209,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     base = scored.where("perplexity is not null").join(good, "id", "left_semi")
     edges = F.percentile_approx("perplexity", [LOW, HIGH], 10_000)
     limits = base.groupBy("lang").agg(edges.alias("e"))
+    if limits.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES:  # else Spark joins them by a shuffle
+        limits = F.broadcast(limits)
     whole = base.agg(edges.alias("every"))
     out = scored.join(F.broadcast(whole)).join(limits, "lang", "left").withColumn("e", F.coalesce("e", "every"))
     out = out.withColumn("low", F.col("e")[0] * (1 - MARGIN)).withColumn("high", F.col("e")[1] * (1 + MARGIN))

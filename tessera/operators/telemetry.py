@@ -40,28 +40,33 @@ def strategy_ranking(audit: DataFrame, now_ms: int) -> DataFrame:
     ).orderBy(F.desc("success_rate"), "avg_regret", "category", "strategy")
 
 
-def judged(ranking: DataFrame) -> DataFrame:
+#: The limits by which strategies are judged.
+LIMITS = {"up": S.PROMOTE_SUCCESS, "gain": S.PROMOTE_DELTA, "sure": S.PROMOTE_CONFIDENCE, "down": S.DEAD_SUCCESS, "loss": S.DEAD_DELTA}
+
+
+def judged(ranking: DataFrame, **limits: float) -> DataFrame:
     """Promoted and disabled strategies of a ranking, with confidence; others are left out."""
+    at = LIMITS | limits
     enough = ranking.where(F.col("runs") >= S.MIN_RUNS)
     rated = enough.withColumn("confidence", S.confidence(F.col("success_rate"), F.col("runs"), F.col("avg_latency_ms"), F.col("avg_cost_usd")))
-    good = (F.col("success_rate") >= S.PROMOTE_SUCCESS) & (F.col("avg_delta") > S.PROMOTE_DELTA)
-    dead = (F.col("success_rate") <= S.DEAD_SUCCESS) & (F.col("avg_delta") < S.DEAD_DELTA)
-    verdict = F.when(good & (F.col("confidence") >= S.PROMOTE_CONFIDENCE), "promoted").when(~good & dead, "disabled")
+    good = (F.col("success_rate") >= at["up"]) & (F.col("avg_delta") > at["gain"])
+    dead = (F.col("success_rate") <= at["down"]) & (F.col("avg_delta") < at["loss"])
+    verdict = F.when(good & (F.col("confidence") >= at["sure"]), "promoted").when(~good & dead, "disabled")
     return rated.withColumn("verdict", verdict).where("verdict is not null").select("category", "strategy", "verdict", "confidence", "aggressiveness", "runs", "runs_last_24h")
 
 
-def dominance(ranking: DataFrame) -> DataFrame:
+def dominance(ranking: DataFrame, **limits: float) -> DataFrame:
     """For each category its promoted strategies, most confident first, and its disabled ones."""
-    rows = judged(ranking)
+    rows = judged(ranking, **limits)
     item = F.struct((-F.col("confidence")).alias("o"), F.col("strategy"))
     named = lambda verdict: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("verdict") == verdict, item))), lambda x: x["strategy"]), ",")
     return rows.groupBy("category").agg(named("promoted").alias("promoted"), named("disabled").alias("disabled"))
 
 
-def policy_document(ranking: DataFrame, generated_ts: int, version: str = "1.0") -> DataFrame:
+def policy_document(ranking: DataFrame, generated_ts: int, version: str = "1.0", **limits: float) -> DataFrame:
     """The policy as one versioned JSON document."""
     promoted = F.struct("strategy", "confidence", "aggressiveness", "runs", "runs_last_24h")
-    by_category = judged(ranking).groupBy("category").agg(
+    by_category = judged(ranking, **limits).groupBy("category").agg(
         F.sort_array(F.collect_list(F.when(F.col("verdict") == "promoted", promoted))).alias("promoted"), F.sort_array(F.collect_list(F.when(F.col("verdict") == "disabled", F.col("strategy")))).alias("disabled")
     )
     entry = F.struct("category", F.struct("promoted", "disabled"))

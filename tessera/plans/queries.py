@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tessera.plans.registry import QUERIES, SQL
 
-MODULES = ("q_telemetry", "q_sessions", "q_records", "q_state")
+MODULES = ("q_telemetry", "q_sessions", "q_records", "q_ranking", "q_state")
 
 
 def _load() -> None:

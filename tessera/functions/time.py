@@ -11,6 +11,8 @@ UNITS = ((r"([0-9]+)\s*(?:seconds?|segundos?)", 1000), (r"([0-9]+)\s*(?:minutes?
 DAY_MS = 86_400_000
 #: Spanish months in order.
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+#: English months in order.
+ENGLISH_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def age_ms(text: Column, now_ms: int) -> Column:

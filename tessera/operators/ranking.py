@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions import time as T
 from tessera.functions import url as U
 
 
@@ -60,11 +61,22 @@ def is_evergreen(blob: Column, url: Column, policy: Policy) -> Column:
     return any_in(blob, policy.evergreen) | official
 
 
+def _first_date(text: Column, pattern: str, as_date) -> Column:
+    """The first match of ``pattern`` that ``as_date`` makes a date of; null if there is none."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), as_date)
+    return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
+
+
 def url_date(url: Column) -> Column:
-    """The date in a URL, with or without separators; null if there is none or it is no date."""
+    """The date in a URL: with separators, else without, else a month's name and a year; null if there is none."""
     low = F.lower(url)
-    parts = lambda p: F.try_to_date(F.concat_ws("-", *(F.regexp_extract(low, p, i) for i in (1, 2, 3))), "yyyy-MM-dd")
-    return F.coalesce(parts(r"[/\-]([0-9]{4})[/\-]([0-9]{2})[/\-]([0-9]{2})"), parts(r"(20[0-9]{2})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])"))
+    digits = lambda m: F.try_to_date(F.regexp_replace(m, "[^0-9]", ""), "yyyyMMdd")
+    names = "|".join((*T.MONTHS, *T.ENGLISH_MONTHS))
+    month = lambda m: F.coalesce(*(F.nullif(F.array_position(F.array(*map(F.lit, table)), F.regexp_extract(m, names, 0)), F.lit(0)) for table in (T.MONTHS, T.ENGLISH_MONTHS)))
+    named = lambda m: F.try_to_date(F.concat(F.regexp_extract(m, "[0-9]{4}", 0), F.lpad(month(m).cast("string"), 2, "0"), F.lit("01")), "yyyyMMdd")
+    return F.coalesce(
+        _first_date(low, r"[/\-](?!0000)[0-9]{4}[/\-][0-9]{2}[/\-][0-9]{2}", digits), _first_date(low, r"20[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])", digits), _first_date(low, rf"(?:{names})[- ](?!0000)[0-9]{{4}}|(?!0000)[0-9]{{4}}[- ](?:{names})", named)
+    )
 
 
 def recent(url: Column, ref_date: str, days: int) -> Column:

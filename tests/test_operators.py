@@ -156,3 +156,23 @@ def test_writers(spark, tmp_path):
     legacy = spark.createDataFrame([("s1", 0, "a"), ("s1", 1, "b"), ("s2", 0, "c")], "session_id string, line long, content string")
     out = writers.backfill(legacy, spark.createDataFrame([("s2",)], "session_id string"), 10_000).orderBy("line").collect()
     assert [(r.content, r.ts) for r in out] == [("a", 9000), ("b", 10_000)]
+
+
+def test_url_dates(spark):
+    from tessera.operators.ranking import url_date
+
+    cases = [
+        ("https://n.example/2026/04/02/x", "2026-04-02"),
+        ("https://n.example/2026-13-40/2026-05-06", "2026-05-06"),
+        ("https://n.example/yjj20260402b", "2026-04-02"),
+        ("https://n.example/id19970402", None),
+        ("https://n.example/20260231-20260301", "2026-03-01"),
+        ("https://n.example/julio-2025", "2025-07-01"),
+        ("https://n.example/2025-march", "2025-03-01"),
+        ("https://n.example/mayo-2024", "2024-05-01"),
+        ("https://n.example/story", None),
+        ("", None),
+        (None, None),
+    ]
+    got = spark.createDataFrame(cases, "url string, day string").select("url", "day", url_date(F.col("url")).cast("string").alias("got")).collect()
+    assert [r.got for r in got] == [r.day for r in got]

@@ -63,10 +63,10 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 class ChunkEncoder:
     """Token ids of many texts: each distinct chunk is given to the tokenizer once, and its ids kept.
 
-    What is kept is bounded by ``most`` chunks, about 20 bytes each; beyond, it starts anew.
+    What is kept is bounded by ``most`` chunks, about 40 bytes each with their ids; beyond, it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 4_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,20 +157,23 @@ def encoder(path: str) -> ChunkEncoder:
 def _pieces(path: str, size: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ranks = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for whole in batches:
-            for batch in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
-                data, offsets = utf8(batch.column("text"))
-                ids, bounds = encoder(path).encode(data, offsets)
-                rows = []
-                for row, doc in enumerate(batch.column("doc_id").to_pylist()):
-                    own = np.append(ids[bounds[row] : bounds[row + 1]], np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(own), size):
-                        piece = own[start : start + size]
-                        rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(own), task, ranks[len(piece)]))
-                        ranks[len(piece)] += 1
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
+        try:
+            for whole in batches:
+                for batch in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
+                    data, offsets = utf8(batch.column("text"))
+                    ids, bounds = encoder(path).encode(data, offsets)
+                    rows = []
+                    for row, doc in enumerate(batch.column("doc_id").to_pylist()):
+                        own = np.append(ids[bounds[row] : bounds[row + 1]], np.uint32(end_id)).astype("<u4")
+                        for start in range(0, len(own), size):
+                            piece = own[start : start + size]
+                            rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(own), task, ranks[len(piece)]))
+                            ranks[len(piece)] += 1
+                    columns = list(zip(*rows, strict=True)) or [()] * 7
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
+        finally:
+            encoder(path).clear()  # workers live on, and other stages need their memory
 
     return cut
 

@@ -32,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import grouped, unpack
-from tessera.llm.store import written
+from tessera.llm.store import small_batches, written
 from tessera.llm.text import segments, utf8
 
 ORDER = 4
 LOW, HIGH, MARGIN = 0.001, 0.994, 0.03
 SLOT_BITS, FEW_LANGUAGES = 21, 10_000
+LP_UNIT = 1 << 24
 _LEAD = b"\n" * (ORDER - 1)
 
 
@@ -134,8 +135,8 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, answer = unpack(batch.column("payload")[i].as_py()), batch.column("answer")[i]
             means, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
             if answer.is_valid and group != batch.column("group")[i].as_py():
-                flat = answer.values
-                known = _Lookup(np.asarray(flat.field("gram")).astype(np.uint32), np.asarray(flat.field("lp")))
+                flat = np.asarray(answer.values).view(np.uint64)
+                known = _Lookup((flat >> np.uint64(32)).astype(np.uint32), (flat & np.uint64(0xFFFFFFFF)) / -float(LP_UNIT))
                 group = batch.column("group")[i].as_py()
             for data, offsets in _texts(rows):
                 n = np.diff(offsets)
@@ -196,16 +197,20 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     trusted = held.select("group", "payload").mapInPandas(_ids, "id long, group long").join(good, "id")
     by_group = trusted.groupBy("group").agg(F.collect_set("id").alias("trusted"))
     counted = held.join(by_group, "group").select("payload", "trusted").mapInArrow(_count, "gram long, n long")
-    counts = written(counted.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    with small_batches(docs.sparkSession):
+        counts = written(counted.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     any_trusted = not counts.isEmpty()
     if any_trusted:
         asked = held.select("group", "payload").mapInArrow(_ask, "group long, gram long")
-        asked = written(asked, "asked")
-        answers = asked.join(probabilities(counts, asked.select("gram").distinct()), "gram").groupBy("group").agg(F.collect_list(F.struct("gram", "lp")).alias("answer"))
+        with small_batches(docs.sparkSession):
+            asked = written(asked, "asked")
+        packed = F.shiftleft("gram", 32).bitwiseOR(F.round(F.col("lp") * -LP_UNIT).cast("long"))  # one number each: a group's answer is held whole
+        answers = asked.join(probabilities(counts, asked.select("gram").distinct()), "gram").groupBy("group").agg(F.collect_list(packed).alias("answer"))
         scored = held.join(answers, "group", "left")
     else:
-        scored = held.withColumn("answer", F.lit(None).cast("array<struct<gram:bigint,lp:double>>"))
-    scored = written(scored.select("group", "payload", "answer").mapInArrow(_score, "id long, lang string, n_bytes long, perplexity double"), "scored")
+        scored = held.withColumn("answer", F.lit(None).cast("array<bigint>"))
+    with small_batches(docs.sparkSession):
+        scored = written(scored.select("group", "payload", "answer").mapInArrow(_score, "id long, lang string, n_bytes long, perplexity double"), "scored")
     base = scored.where("perplexity is not null").join(good, "id", "left_semi")
     edges = F.percentile_approx("perplexity", [LOW, HIGH], 10_000)
     limits = base.groupBy("lang").agg(edges.alias("e"))

@@ -221,17 +221,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = written(frequent.select("key", "c", "n", "i").join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label"), "members")
     per_key = members.groupBy("key", "g").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("i")).alias("rest"))
     several = per_key.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    sizes = members.select("g", "c").distinct().groupBy("g").agg(F.count("*").alias("size"))
-    contested = members.join(several, "key", "left_semi").join(sizes, "g")
-    offered = per_key.join(several, "key", "left_semi").join(sizes, "g").select("key", F.col("g").alias("to"), F.col("size").alias("to_size"), "least_n", "most_n", "rest")
+    sizes = members.select("g", "c").distinct().groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("only"))  # the label needn't have a frequent token
+    contested = members.join(several, "key", "left_semi").join(sizes.drop("only"), "g")
+    offered = per_key.join(several, "key", "left_semi").join(sizes, "g").select("key", F.col("g").alias("to"), F.col("size").alias("to_size"), "only", "least_n", "most_n", "rest")
     partner = F.greatest(F.col("least_n"), F.ceil(F.col("n") * num / den))  # the least size that a member can have
     enough = lambda rest: rest * (num + den) >= num * (F.col("n") + partner)
     fits = (F.col("most_n") * den >= F.col("n") * num) & (F.col("least_n") * num <= F.col("n") * den) & enough(F.col("n") - F.col("i")) & enough(F.col("rest"))
-    asks = contested.join(offered, "key").where("g <> to").where(F.struct("to_size", "to") > F.struct("size", "g")).where(fits).select("c", "n", "to", "to_size").distinct()
+    asks = contested.join(offered, "key").where("g <> to").where(F.struct("to_size", "to") > F.struct("size", "g")).where(fits).select("c", "n", "to", "to_size", "only").distinct()
     asks = written(asks, "asks")
     extra = None
     if not asks.isEmpty():
-        single = written(_possible(asks.where("to_size = 1").select(F.col("c").alias("a"), F.col("to").alias("b")), classes, num, den), "pairs")
+        single = written(_possible(asks.where("to_size = 1").select(F.col("c").alias("a"), F.col("only").alias("b")), classes, num, den), "pairs")
         wide = asks.where("to_size > 1").select("c", "n", "to")
         inside = members.select(F.col("g").alias("to"), F.col("c").alias("m"), F.col("n").alias("mn")).distinct().join(wide.select("to").distinct(), "to", "left_semi")
         sets = read(ends(single).unionByName(wide.select("c")).unionByName(inside.select(F.col("m").alias("c"))).distinct())

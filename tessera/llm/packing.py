@@ -4,11 +4,11 @@
    sequences and one rest; checksums of the pieces are taken in the same pass, so ids needn't move.
 2. The histogram of piece lengths, ``size`` numbers at most, is packed on the driver: lengths are
    placed longest first, each into the pack with the most room, and packs of one content are one
-   pattern with a count. A length that fits no pack opens new ones.
-   Each length adds two patterns at most (it splits one, and opens one), so there are no more than
-   twice ``size`` patterns, however many documents.
+   pattern with a count. A length that fits no pack opens new ones, and fills each with itself.
+   Each length adds two patterns at most (it splits one, or opens full ones and one for the
+   remainder), so there are no more than twice ``size`` patterns, however many documents.
 3. Patterns are joined back by rank: the pieces of a length are numbered over all tasks by prefix
-   sums of the tasks' counts, and each slot of a pattern takes a range of these numbers. No length,
+   sums of the tasks' counts, and each length of a pattern takes a range of these numbers. No length,
    however common, meets in one task.
 
 Null text is empty text, which is the end mark alone. Repeated rows and ids are packed each. A null
@@ -21,6 +21,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -189,7 +190,10 @@ def pack(histogram: dict[int, int], size: int = 2048) -> list[tuple[int, tuple[i
         while left:
             most = max((r for r, packs in room.items() if packs), default=0)
             if most < length:
-                room[size - length][(length,)] += left
+                each = size // length  # the pack just opened has the most room
+                for times, packs in ((each, left // each), (left % each, 1)):
+                    if times and packs:
+                        room[size - times * length][(length,) * times] += packs
                 break
             content, packs = room[most].popitem()
             if not room[most]:
@@ -214,12 +218,13 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     slots, taken, sequences = [], defaultdict(int), 0
     for n, content in pack(histogram, size):
         offset = 0
-        for length in content:
-            slots.append((length, taken[length], taken[length] + n, sequences, offset))
-            taken[length] += n
-            offset += length
+        for length, run in groupby(content):
+            times = len(list(run))
+            slots.append((length, taken[length], taken[length] + n * times, sequences, offset, times))
+            taken[length] += n * times
+            offset += length * times
         sequences += n
-    slot = spark.createDataFrame(slots, "length int, first long, last long, sequence long, offset long")
+    slot = spark.createDataFrame(slots, "length int, first long, last long, sequence long, offset long, times int")
     ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "task")
     placed = ranked.join(F.broadcast(slot), (ranked["length"] == slot["length"]) & (ranked["rank"] >= slot["first"]) & (ranked["rank"] < slot["last"])).drop(slot["length"])
     return placed.select(
@@ -228,6 +233,6 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         F.col("length").cast("long").alias("length"),
         "ids_crc32",
         "doc_tokens",
-        (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"),
-        "offset",
+        (F.col("sequence") + F.expr("(rank - first) div times")).alias("sequence_id"),
+        (F.col("offset") + (F.col("rank") - F.col("first")) % F.col("times") * F.col("length")).alias("offset"),
     )

@@ -23,7 +23,9 @@ gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import grouped, unpack
+from tessera.llm.secrets import text_digest
 from tessera.llm.store import small_batches, written
 from tessera.llm.text import segments, utf8
 
@@ -133,7 +136,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             rows, answer = unpack(batch.column("payload")[i].as_py()), batch.column("answer")[i]
-            means, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+            means, sizes, digests = [np.zeros(0)], [np.zeros(0, np.int64)], []
             if answer.is_valid and group != batch.column("group")[i].as_py():
                 flat = np.asarray(answer.values).view(np.uint64)
                 known = _Lookup((flat >> np.uint64(32)).astype(np.uint32), (flat & np.uint64(0xFFFFFFFF)) / -float(LP_UNIT))
@@ -146,9 +149,11 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums = total[offsets[1:]] - total[offsets[:-1]]
                 means.append(np.divide(sums, n, out=np.full(len(n), np.nan), where=n > 0) if answer.is_valid else np.full(len(n), np.nan))
                 sizes.append(n)
+                raw = data.tobytes()
+                digests += [hashlib.sha256(raw[a:b]).digest() for a, b in pairwise(offsets.tolist())]
             mean = np.concatenate(means)
             ppl = pa.array(np.exp(-mean), pa.float64(), from_pandas=True)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("lang"), pa.array(np.concatenate(sizes), pa.int64()), ppl], ["id", "lang", "n_bytes", "perplexity"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("lang"), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes), pa.int64()), ppl], ["id", "lang", "digest", "n_bytes", "perplexity"])
 
 
 def _discounts(table: DataFrame) -> Column:
@@ -191,6 +196,11 @@ def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """One row for each input row: id, lang, n_bytes, perplexity, low, high (the thresholds), kept."""
+    return _judged(docs, labels, id_col, text_col, lang_col, label_col).drop("digest")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str) -> DataFrame:
+    """``quality`` with the digest of each text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     held = grouped(rows)
     good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("q")).where("q = 1").select("id")
@@ -210,7 +220,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     else:
         scored = held.withColumn("answer", F.lit(None).cast("array<bigint>"))
     with small_batches(docs.sparkSession):
-        scored = written(scored.select("group", "payload", "answer").mapInArrow(_score, "id long, lang string, n_bytes long, perplexity double"), "scored")
+        scored = written(scored.select("group", "payload", "answer").mapInArrow(_score, "id long, lang string, digest binary, n_bytes long, perplexity double"), "scored")
     base = scored.where("perplexity is not null").join(good, "id", "left_semi")
     edges = F.percentile_approx("perplexity", [LOW, HIGH], 10_000)
     limits = base.groupBy("lang").agg(edges.alias("e"))
@@ -220,10 +230,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     out = scored.join(F.broadcast(whole)).join(limits, "lang", "left").withColumn("e", F.coalesce("e", "every"))
     out = out.withColumn("low", F.col("e")[0] * (1 - MARGIN)).withColumn("high", F.col("e")[1] * (1 + MARGIN))
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select(F.col("id").alias(id_col), "lang", "n_bytes", "perplexity", "low", "high", kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), "lang", "digest", "n_bytes", "perplexity", "low", "high", kept.alias("kept"))
 
 
-def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The input's rows that ``quality`` keeps, with all columns; rows of one id are judged together."""
-    kept = quality(docs, labels, id_col, **columns).groupBy(id_col).agg(F.max("kept").alias("__kept")).where("__kept").select(F.col(id_col).alias("__id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+    """The input's rows that ``quality`` keeps, with all columns; a row is judged by its id, language and text."""
+    kept = _judged(docs, labels, id_col, text_col, lang_col, label_col).where("kept").select(F.col(id_col).alias("__id"), F.col("lang").alias("__lang"), F.col("digest").alias("__digest")).distinct()
+    own = F.col(id_col).eqNullSafe(F.col("__id")) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("__lang")) & (text_digest(text_col) == F.col("__digest"))
+    return docs.join(kept, own, "left_semi")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import written
@@ -34,7 +34,7 @@ BASE = (
 )
 KINDS = ("assign", "access", "hex", "mixed")
 _RUN = re.compile(r"[A-Za-z0-9]{20,}")
-SCHEMA = "row_id long, id long, repository string, owner string, spans array<struct<kind:int, start:long, end:long, hash:binary>>"
+SCHEMA = "row_id long, id long, digest binary, repository string, owner string, spans array<struct<kind:int, start:long, end:long, hash:binary>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,7 +68,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text or "")
             every = sorted(base + mixed_spans(text or "", base))
             spans.append([{"kind": k, "start": s, "end": e, "hash": hashlib.sha256(text[s:e].encode()).digest()} for s, k, e in every])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "id", "repository", "owner")), pa.array(spans, kind)], ["row_id", "id", "repository", "owner", "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "id", "digest", "repository", "owner")), pa.array(spans, kind)], ["row_id", "id", "digest", "repository", "owner", "spans"])
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3) -> DataFrame:
@@ -77,9 +77,20 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The spans are ordered by start, then kind. Documents stand for repositories and their sources for
     owners unless other columns are named.
     """
+    return _scanned(df, id_col, text_col, repository_col, owner_col, example_owners, F.lit(None).cast("binary")).select(F.col("id").alias(id_col), "spans")
+
+
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of a text: with the id it tells rows apart where ids are null or repeated."""
+    return F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
+
+
+def _scanned(df: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str, example_owners: int, digest: Column) -> DataFrame:
+    """id, digest and spans of each input row."""
     rows = df.select(
         F.monotonically_increasing_id().alias("row_id"),
         F.col(id_col).cast("long").alias("id"),
+        digest.alias("digest"),
         F.col(repository_col).cast("string").alias("repository"),
         F.col(owner_col).cast("string").alias("owner"),
         F.col(text_col).cast("string").alias("text"),
@@ -93,10 +104,10 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = judged.where((F.col("span.kind") < 3) | F.col("live"))
     item = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"), "hash", "repositories", "owners", "live")
     lists = judged.groupBy("row_id").agg(F.sort_array(F.collect_list(item)).alias("spans"))
-    every = scanned.select("row_id", "id", F.size("spans").alias("n"))
-    found_rows = every.where("n > 0").join(lists, "row_id", "left").select("id", "spans")
-    return found_rows.unionByName(every.where("n = 0").select("id", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))).select(
-        F.col("id").alias(id_col), F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)).alias("spans")
+    every = scanned.select("row_id", "id", "digest", F.size("spans").alias("n"))
+    found_rows = every.where("n > 0").join(lists, "row_id", "left").select("id", "digest", "spans")
+    return found_rows.unionByName(every.where("n = 0").select("id", "digest", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans"))).select(
+        "id", "digest", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)).alias("spans")
     )
 
 
@@ -114,13 +125,17 @@ def _redacted(text: pd.Series, starts: pd.Series, ends: pd.Series, mark: pd.Seri
     return pd.Series(out, dtype=object)
 
 
-def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **parameters) -> DataFrame:
+def redacted(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3
+) -> DataFrame:
     """The input with the live-looking spans of its texts replaced by ``mark``; overlapping spans become one.
 
-    Widely copied examples stay. Rows of one id are scanned together, so ids should be distinct.
+    Widely copied examples stay. Spans go back to their texts by id and digest, so ids may be null or repeated.
     """
     live = F.filter("spans", lambda s: s["live"])
-    found = scan_secrets(df, id_col, text_col, **parameters).select(F.col(id_col).alias("__id"), live.alias("__spans")).where(F.size("__spans") > 0)
-    rows = df.join(found.dropDuplicates(["__id"]), F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    found = _scanned(df, id_col, text_col, repository_col, owner_col, example_owners, text_digest(text_col))
+    found = found.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), live.alias("__spans")).where(F.size("__spans") > 0)
+    own = F.col(id_col).eqNullSafe(F.col("__id")) & (text_digest(text_col) == F.col("__digest"))
+    rows = df.join(found.dropDuplicates(["__id", "__digest"]), own, "left")
     text = F.pandas_udf(_redacted, "string")(F.col(text_col), F.col("__spans.start"), F.col("__spans.end"), F.lit(mark))
     return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(text)).select(*df.columns)

@@ -12,8 +12,8 @@ numbers and a document of any script can be scored; each text is read after thre
    groups. So a frequent n-gram moves once for each group, not once for each occurrence.
 4. A group scores its documents: perplexity is the exponential of the mean negative log probability
    of a byte. For each language, quantiles of the trusted documents' perplexities are the thresholds,
-   upper for text unlike the trusted, lower for text that repeats itself; a language without trusted
-   documents takes those of all. Quantiles are approximate within 1e-4 of the rank.
+   upper for text unlike the trusted, lower for text that repeats itself; a language with fewer than
+   ``LEAST_TRUSTED`` trusted documents takes those of all. Quantiles are approximate within 1e-4 of the rank.
 
 Null and empty texts have no perplexity and are not kept. A null language is the language ''. A null
 id is scored and never trusted. Repeated rows are scored, and counted, each. Without trusted text
@@ -41,6 +41,7 @@ from tessera.llm.text import segments, utf8
 ORDER = 4
 LOW, HIGH, MARGIN = 0.001, 0.994, 0.03
 SLOT_BITS, FEW_LANGUAGES = 21, 10_000
+LEAST_TRUSTED = 1000  # 1 / LOW: quantiles of fewer documents are their range
 LP_UNIT = 1 << 24
 _LEAD = b"\n" * (ORDER - 1)
 
@@ -223,7 +224,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
         scored = written(scored.select("group", "payload", "answer").mapInArrow(_score, "id long, lang string, digest binary, n_bytes long, perplexity double"), "scored")
     base = scored.where("perplexity is not null").join(good, "id", "left_semi")
     edges = F.percentile_approx("perplexity", [LOW, HIGH], 10_000)
-    limits = base.groupBy("lang").agg(edges.alias("e"))
+    limits = base.groupBy("lang").agg(edges.alias("e"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).drop("n")
     if limits.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES:  # else Spark joins them by a shuffle
         limits = F.broadcast(limits)
     whole = base.agg(edges.alias("every"))

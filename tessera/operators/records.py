@@ -6,6 +6,9 @@ rows, the position decides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +77,43 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in ``spark.checkpoint.dir``, or in a temporary folder where it is unset, read again."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def greedy(df: DataFrame, group: str, position: str, tokens: str, share: float, least: int) -> DataFrame:
     """Rows of each group that share less than ``share`` of their tokens with every earlier kept row.
 
-    Order matters, so a group folds its rows one by one; groups are blocks such as company and place.
+    Positions are distinct, and so are a row's tokens. Of rows of one token set only the first can stay.
+    Of two alike sets, one of the rarest tokens of the smaller is in the larger; a join by these finds the
+    pairs. The order is settled in rounds: a row without an earlier alike row stays, those like it go.
     """
-    item = F.struct(F.col(position).alias("p"), F.col(tokens).alias("t"))
-    like = lambda x, y: (F.size(x["t"]) >= least) & (F.size(y["t"]) >= least) & (overlap(x["t"], y["t"]) >= share)
-    empty = F.array().cast("array<struct<p:bigint,t:array<string>>>")
-    kept = F.aggregate(F.sort_array(F.collect_list(item)), empty, lambda acc, x: F.when(F.exists(acc, lambda y: like(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return df.groupBy(group).agg(kept.alias("k")).select(group, F.explode("k.p").alias(position))
+    rows = written(df.select(F.struct(F.col(group).alias("of")).alias("g"), F.col(position).alias("p"), F.array_sort(tokens).alias("t")), "rows")
+    big = rows.where(F.size("t") >= least)
+    sets = written(big.groupBy("g", "t").agg(F.min("p").alias("p")).withColumn("n", F.size("t")), "sets")
+    gone = big.join(sets.select("g", "p"), ["g", "p"], "left_anti").select("g", "p")
+
+    held = sets.select("g", "p", "n", F.explode("t").alias("token"))
+    spread = held.groupBy("g", "token").agg(F.count("*").alias("d"))
+    ranked = held.join(spread, ["g", "token"]).withColumn("i", F.row_number().over(Window.partitionBy("g", "p").orderBy("d", "token"))).where("d > 1").drop("d")
+    ranked = written(ranked, "ranked")
+    need = F.floor(F.col("n") * share)  # rounding down, as the comparison below is exact
+    small = ranked.withColumn("need", need).where(F.col("i") <= F.col("n") - F.col("need") + 1).select("g", "token", "p", "n", "need")
+    large = ranked.select("g", "token", F.col("p").alias("q"), F.col("n").alias("m"), F.col("i").alias("j"))
+    met = small.join(large, ["g", "token"]).where("p <> q and n <= m and m - j + 1 >= need")
+    pairs = met.select("g", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    side = lambda at, t: sets.select("g", F.col("p").alias(at), F.col("t").alias(t))
+    edges = written(pairs.join(side("a", "x"), ["g", "a"]).join(side("b", "y"), ["g", "b"]).where(overlap(F.col("x"), F.col("y")) >= share).select("g", "a", "b"), "edges")
+    while not edges.isEmpty():
+        stay = edges.select("g", "a").distinct().join(edges.select("g", F.col("b").alias("a")).distinct(), ["g", "a"], "left_anti")
+        like = written(edges.join(stay, ["g", "a"], "left_semi").select("g", F.col("b").alias("p")).distinct(), "like")
+        gone = gone.unionByName(like)
+        edges = written(edges.join(like.withColumnRenamed("p", "b"), ["g", "b"], "left_anti").join(like.withColumnRenamed("p", "a"), ["g", "a"], "left_anti"), "edges")
+    return rows.select("g", "p").join(gone, ["g", "p"], "left_anti").select(F.col("g.of").alias(group), F.col("p").alias(position))
 
 
 def anchors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -78,7 +78,7 @@ def w10(spark, sf_dir):
 @query("D03_D06_greedy")
 def d03(spark, sf_dir):
     v = vacancies(spark, sf_dir).withColumn("tokens", F.array_distinct(F.filter(F.split(X.fingerprint(F.col("description"), 900), " "), lambda t: F.length(t) >= 4)))
-    v = v.withColumn("block", F.concat_ws("|", "company", "location", F.pmod(F.xxhash64(F.slice("tokens", 1, 3)), F.lit(97)).cast("string")))
+    v = v.withColumn("block", F.struct("company", "location"))
     return R.greedy(v, "block", "pos", "tokens", 0.62, 8).select("pos")
 
 

@@ -29,4 +29,4 @@ def ml1(spark, sf_dir):
 @query("ML2_ML3_best_strategies")
 def ml3(spark, sf_dir):
     a = view(spark, sf_dir, "audit").withColumn("prior_reliability", F.lit("ok")).withColumn("consecutive_failures", F.lit(0))
-    return L.best_strategies(L.train(a.where("strategy is not null")), a.where("request_id % 50 = 0"))
+    return L.best_strategies(L.train(a.where("strategy is not null")), a)

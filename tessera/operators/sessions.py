@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.records import written
 
 ACTIVE, TERMINAL, RETRYABLE = ("queued", "running"), ("completed", "failed", "cancelled"), ("failed", "cancelled")
 BUDGET_CHARS, WARN_SHARE, CHARS_A_TOKEN = 120_000, 0.85, 4
@@ -40,18 +41,21 @@ def task_summary(tasks: DataFrame) -> DataFrame:
     )
 
 
-def retry_chains(tasks: DataFrame, depth: int = 8) -> DataFrame:
-    """Each task's first attempt and its attempt number, along at most ``depth`` parents.
+def retry_chains(tasks: DataFrame, depth: int | None = None) -> DataFrame:
+    """Each task's first attempt and its attempt number, along all parents, or as many as ``depth`` needs.
 
-    Pointer doubling: each step joins a task with its ancestor's ancestor, so ``depth`` attempts take
-    log2(depth) joins.
+    Pointer doubling: each step joins a task with its ancestor's ancestor, until nothing changes; in a
+    cycle, which has no first attempt, until every chain would have ended.
     """
     now = tasks.select("task_id", F.coalesce("parent_task_id", "task_id").alias("root"), F.when(F.col("parent_task_id").isNull(), 0).otherwise(1).alias("steps"))
     known = tasks.select(F.col("task_id").alias("root")).distinct()
     now = now.join(known, "root", "left_semi").unionByName(now.join(known, "root", "left_anti").withColumn("root", F.col("task_id")).withColumn("steps", F.lit(0)))
-    for _ in range((depth - 1).bit_length()):
+    now = written(now, "chains")
+    for _ in range((depth - 1 if depth else now.count()).bit_length()):
         up = now.select(F.col("task_id").alias("root"), F.col("root").alias("above"), F.col("steps").alias("more"))
-        now = now.join(up, "root").select("task_id", F.col("above").alias("root"), (F.col("steps") + F.col("more")).alias("steps"))
+        now = written(now.join(up, "root").select("task_id", F.col("above").alias("root"), (F.col("steps") + F.col("more")).cast("long").alias("steps"), (F.col("more") > 0).alias("moved")), "chains")
+        if now.where("moved").isEmpty():
+            break
     return now.select("task_id", "root", (F.col("steps") + 1).cast("long").alias("attempt"))
 
 

@@ -6,22 +6,24 @@ their sets' Jaccard similarity is ``num / den`` or more.
 1. Documents of one set are one class, so exact copies never meet as pairs.
 2. Tokens are ordered from rare to frequent, by a count-min sketch of fixed size that counts how often
    a token repeats within a batch of documents. Linked classes share one of the first (1 - num/den)
-   of their tokens in any fixed order, and in this one the passages that a third of all documents
-   hold come last. How exact the sketch is moves cost, never results. The first token that two sets
-   share also bounds what they share by what follows it in each, and pairs are held to that bound.
-3. Classes that share such a token are partitioned into groups of similar ones: those of rarely shared
-   tokens are compared with each other; for a token that more than ``FEW`` classes share, each with
-   the one that has it earliest, which has the least of its own. Before sets are read, a pair must pass a bound: each class has the counts of its
-   tokens in hashed bins, a quarter as many bins as tokens, and the sum over bins of the smaller
-   count is the most that two sets can share. The classes linked so far form the groups.
-4. The token-group matrix holds each group's token union. A class that shares a frequent token with
-   another group asks its row there: only if the group's union holds num/den of the class's tokens
-   can a member link with it, and only such groups are opened and their members compared. A group of
-   one class is bounded by bins, as in 3.
-5. The links' connected components are the result.
-
-Members of one group needn't be compared any more, and no group is held by one task: unions, overlaps
-and comparisons are joins and aggregates over (group, token), (class, group) and (class, class) rows.
+   of their tokens in any fixed order, their keys, and in this one the passages that a third of all
+   documents hold come last. How exact the sketch is moves cost, never results. The first token that
+   two sets share also bounds what they share by what follows it in each.
+3. Classes are partitioned into groups of similar ones: each class is compared with its keys' hubs, a
+   hub being the class that has the key earliest, and the links found so form the groups. A key of
+   any number of classes has one hub.
+4. The token-group matrix holds a row for each group: its token union, folded into hashed bins, a bin
+   holding the most tokens that any member has there; a quarter as many bins as tokens. The sum over
+   bins of the smaller count is the most that a member of one group can share with one of another.
+   Groups that share a key meet in the matrix, group with group, and most of them end there.
+5. Only groups that qualify are opened. The union of a large group says little, so its members also
+   form parts of about ``PART`` classes, each with a row of its own: parts of qualifying groups meet
+   first, then the members of qualifying parts, by their own bins. What is left is compared in full.
+6. The links' connected components are the result.
+
+A group of one class has that class's bins as its row, so 4 and 5 are one way for all sizes. No group
+is held by one task: its row is combined from its parts' rows, within partitions first, and the rest
+are joins and aggregates over (key, class), (key, group) and pairs.
 
 Null and empty texts and those without words have no tokens and link with nothing. Repeated rows are
 members of one class. A null id belongs to the class of its text but names no component, and a class
@@ -36,17 +38,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import from_planes, planes
 from tessera.llm.components import components
-from tessera.llm.store import written
+from tessera.llm.store import limited, text_digest, written
 from tessera.llm.text import mix, segments, utf8, window_hashes, word_hashes
 
-FEW = 8
 SKETCH_BITS = 20
 SKETCH_ROWS = 2
+SKETCH_RANGES = 64
+SENT_IDS = 500_000
+ROWS_HELD = 32 << 20
+PART = 8
 _ROW_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BATCH_BYTES = 2 << 20
 
@@ -80,32 +85,36 @@ def _count(words: int):
             for at in _cells(tokens[1:][tokens[1:] == tokens[:-1]]):
                 cells += np.bincount(at, minlength=len(cells)).astype(np.uint32)
         if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array([planes(cells)])], ["cells"])
+            parts = np.split(cells, SKETCH_RANGES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_RANGES), pa.int32()), pa.array([planes(x) for x in parts], pa.binary())], ["range", "cells"])
 
     return count
 
 
-def _add(levels: bool):
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            for raw in batch.column("cells"):
-                more = from_planes(raw.as_py(), np.uint32)
-                total += np.minimum(more, np.iinfo(np.uint32).max - total)
-        if total.any():
-            out = np.floor(4 * np.log2(1 + total.astype(np.float32))).astype(np.uint8).tobytes() if levels else planes(total)
-            yield pa.RecordBatch.from_arrays([pa.array([out])], ["cells"])
-
-    return add
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each range's cells summed over all tasks, as frequency levels."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, raw in zip(batch.column("range").to_pylist(), batch.column("cells"), strict=True):
+            more = from_planes(raw.as_py(), np.uint32)
+            before = total.setdefault(at, np.zeros(len(more), np.uint32))
+            before += np.minimum(more, np.iinfo(np.uint32).max - before)
+    for at, cells in total.items():
+        raw = np.floor(4 * np.log2(1 + cells.astype(np.float32))).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([raw], pa.binary())], ["range", "cells"])
 
 
 def token_levels(texts: DataFrame, words: int) -> np.ndarray:
-    """Frequency levels, one byte for each cell of a sketch of all texts; 2 MB, whatever the corpus."""
-    parts = texts.mapInArrow(_count(words), "cells binary")
-    for width in (32, 1):
-        parts = parts.repartition(width).mapInArrow(_add(width == 1), "cells binary")
-    row = parts.collect()  # one at most
-    return np.frombuffer(row[0]["cells"], np.uint8) if row else np.zeros(SKETCH_ROWS << SKETCH_BITS, np.uint8)
+    """Frequency levels, one byte for each cell of a sketch of all texts; 2 MB, whatever the corpus.
+
+    Ranges of cells are summed by separate tasks.
+    """
+    kind = "range int, cells binary"
+    summed = texts.mapInArrow(_count(words), kind).repartition(SKETCH_RANGES, "range").mapInArrow(_levels, kind)
+    out = np.zeros((SKETCH_RANGES, (SKETCH_ROWS << SKETCH_BITS) // SKETCH_RANGES), np.uint8)
+    for r in summed.collect():  # SKETCH_RANGES at most
+        out[r["range"]] = np.frombuffer(r["cells"], np.uint8)
+    return out.reshape(-1)
 
 
 def bin_counts(tokens: np.ndarray) -> bytes:
@@ -133,13 +142,75 @@ def _bounded(num: int, den: int):
     return bounded
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that sizes and bins leave possible."""
-    side = lambda at, n, bins: classes.select(F.col("c").alias(at), F.col("n").alias(n), F.col("bins").alias(bins))
-    sized = pairs.join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").where(_fit("nx", "ny", num, den))
+def _possible(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bins leave possible; ``rows``: c, n (the least size), most and bins of classes or groups."""
+    side = lambda at, n, most, bins: rows.select(F.col("c").alias(at), F.col("n").alias(n), F.col("most").alias(most), F.col("bins").alias(bins))
+    sized = pairs.join(side("a", "nx", "mx", "x"), "a").join(side("b", "ny", "my", "y"), "b").where((F.col("mx") * den >= F.col("ny") * num) & (F.col("my") * den >= F.col("nx") * num))
     return sized.select("a", "b", "nx", "ny", "x", "y").mapInArrow(_bounded(num, den), "a long, b long")
 
 
+def folded(x: bytes, y: bytes) -> bytes:
+    """A row of the matrix over two others: for each bin the larger count, with the fewer bins of the two."""
+    a, b = sorted((np.frombuffer(v, np.uint8) for v in (x, y)), key=len)
+    wide = np.minimum(b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64), 255).astype(np.uint8)
+    return np.maximum(a, wide).tobytes()
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (c, n, most, bins) of one group combined, as far as a partition holds them."""
+    held: dict[int, tuple[int, int, bytes]] = {}
+    size = 0
+
+    for batch in batches:
+        for c, n, most, bins in zip(*(batch.column(k).to_pylist() for k in ("c", "n", "most", "bins")), strict=True):
+            if c in held:
+                least, largest, before = held[c]
+                held[c] = (min(n, least), max(most, largest), folded(before, bins))
+            else:
+                held[c] = (n, most, bins)
+                size += len(bins) + 200
+        if size > ROWS_HELD:
+            yield _rows([(c, *v) for c, v in held.items()])
+            held, size = {}, 0
+    yield _rows([(c, *v) for c, v in held.items()])
+
+
+def _parts(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each class's group g and part: about PART classes of one group, or a class of its own."""
+    large = groups.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > PART)
+    part = F.xxhash64("label", F.pmod(F.xxhash64("c"), F.coalesce(F.ceil(F.col("size") / PART), F.lit(1))))
+    several = groups.join(limited(large, SENT_IDS), "label", "left").select("c", F.col("label").alias("g"), part.alias("part"))
+    return several.unionByName(classes.select("c").join(groups, "c", "left_anti").select("c", F.col("c").alias("g"), F.col("c").alias("part")))
+
+
+def _matrix(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (by, n, most, bins) as rows of the token-group matrix: c, n and most (sizes of the smallest and largest member), bins."""
+    row = "c long, n int, most int, bins binary"
+    return rows.select(F.col(by).alias("c"), "n", "most", "bins").mapInArrow(_fold, row).repartition("c").sortWithinPartitions("c").mapInArrow(_fold_sorted, row)
+
+
+def _fold_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rest of ``_fold``: the rows of a group follow each other, so one group is held at a time."""
+    now = None
+    for batch in batches:
+        done = []
+        for row in zip(*(batch.column(k).to_pylist() for k in ("c", "n", "most", "bins")), strict=True):
+            if now and now[0] == row[0]:
+                now = (now[0], min(now[1], row[1]), max(now[2], row[2]), folded(now[3], row[3]))
+            else:
+                done += [now] if now else []
+                now = row
+        if done:
+            yield _rows(done)
+    if now:
+        yield _rows([now])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["c", "n", "most", "bins"])
+
+
 def _prefixes(words: int, num: int, den: int, levels):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -155,7 +226,7 @@ def _prefixes(words: int, num: int, den: int, levels):
                 keys.append(tokens[np.lexsort((tokens, level))[:most]].astype(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(np.array(names, np.uint64).astype(np.int64), pa.int64()), lists, pa.array(bins, pa.binary())], ["id", "n", "c", "keys", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int32()), pa.array(np.array(names, np.uint64).astype(np.int64), pa.int64()), lists, pa.array(bins, pa.binary())], ["id", "digest", "n", "c", "keys", "bins"])
 
     return prefixes
 
@@ -179,83 +250,90 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return sized.where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def _fit(x: str, y: str, num: int, den: int) -> F.Column:
+def _fit(x: str, y: str, num: int, den: int) -> Column:
     """Whether sets of these sizes can be that similar."""
     return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
 
 
-def _reach(x: str, y: str, num: int, den: int) -> F.Column:
-    """Whether what follows the shared token in x leaves enough to share."""
-    return (F.col(f"{x}.n") - F.col(f"{x}.i")) * (num + den) >= num * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+def _reach(n: str, i: str, m: str, num: int, den: int) -> Column:
+    """Whether what follows place i in a set of size n leaves enough to share with one of size m."""
+    return (F.col(n) - F.col(i)) * (num + den) >= num * (F.col(n) + F.col(m))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row for each input row: id, n_shingles, component_id (the least id reachable by links)."""
+def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, digest: Column) -> tuple[DataFrame, DataFrame]:
+    """A row for each input row (id, digest, n, c), and for each class: c, id, label."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(token_levels(rows.select("text"), words))
-    docs = written(rows.mapInArrow(_prefixes(words, num, den, levels), "id long, n int, c long, keys array<long>, bins binary"), "prefixes")
+    docs = written(rows.mapInArrow(_prefixes(words, num, den, levels), "id long, digest binary, n int, c long, keys array<long>, bins binary"), "prefixes")
     classes = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
-    classes = written(classes, "classes")
-
-    held = classes.where("id is not null").select("c", "n", F.posexplode("keys").alias("i", "key")).repartition("key")
-    spread = held.groupBy("key").agg(F.count("*").alias("d"), F.min("i").alias("first")).where("d > 1")
-    shared = written(held.join(spread, "key"), "shared")
-    few = shared.where(F.col("d") <= FEW).select("key", "c", "n", "i")
-    near = few.alias("x").join(few.alias("y"), "key").where("x.c < y.c").where(_fit("x.n", "y.n", num, den) & _reach("x", "y", num, den) & _reach("y", "x", num, den)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-    frequent = shared.where(F.col("d") > FEW)
-    hubs = frequent.where("i = first").groupBy("key").agg(F.min("c").alias("hub"))
-    star = frequent.join(hubs, "key").where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
-    pairs = written(_possible(near.unionByName(star).distinct(), classes, num, den), "pairs")
-
-    def read(wanted: DataFrame) -> DataFrame:
-        """The whole sets of these classes."""
-        ids = wanted.join(classes.select("c", "id"), "c").select("id").distinct()
-        found = rows.join(ids, "id", "left_semi").select("text").mapInArrow(_whole(words), "c long, tokens array<long>")
-        return written(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "sets")
-
+    classes = written(classes.withColumn("most", F.col("n")), "classes")
     ends = lambda p: p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
-    links = written(_linked(pairs, read(ends(pairs)), num, den), "links")
-    groups = components(links)
 
-    members = written(frequent.select("key", "c", "n", "i").join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label"), "members")
-    per_key = members.groupBy("key", "g").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("i")).alias("rest"))
-    several = per_key.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    sizes = members.select("g", "c").distinct().groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("only"))  # the label needn't have a frequent token
-    contested = members.join(several, "key", "left_semi").join(sizes.drop("only"), "g")
-    offered = per_key.join(several, "key", "left_semi").join(sizes, "g").select("key", F.col("g").alias("to"), F.col("size").alias("to_size"), "only", "least_n", "most_n", "rest")
-    partner = F.greatest(F.col("least_n"), F.ceil(F.col("n") * num / den))  # the least size that a member can have
-    enough = lambda rest: rest * (num + den) >= num * (F.col("n") + partner)
-    fits = (F.col("most_n") * den >= F.col("n") * num) & (F.col("least_n") * num <= F.col("n") * den) & enough(F.col("n") - F.col("i")) & enough(F.col("rest"))
-    asks = contested.join(offered, "key").where("g <> to").where(F.struct("to_size", "to") > F.struct("size", "g")).where(fits).select("c", "n", "to", "to_size", "only").distinct()
-    asks = written(asks, "asks")
-    extra = None
-    if not asks.isEmpty():
-        single = written(_possible(asks.where("to_size = 1").select(F.col("c").alias("a"), F.col("only").alias("b")), classes, num, den), "pairs")
-        wide = asks.where("to_size > 1").select("c", "n", "to")
-        inside = members.select(F.col("g").alias("to"), F.col("c").alias("m"), F.col("n").alias("mn")).distinct().join(wide.select("to").distinct(), "to", "left_semi")
-        sets = read(ends(single).unionByName(wide.select("c")).unionByName(inside.select(F.col("m").alias("c"))).distinct())
-        matrix = inside.join(sets.select(F.col("c").alias("m"), "tokens"), "m").select("to", F.explode("tokens").alias("token")).distinct()
-        overlaps = wide.join(sets, "c").select("c", "n", "to", F.explode("tokens").alias("token")).join(matrix, ["to", "token"]).groupBy("c", "n", "to").agg(F.count("*").alias("overlap"))
-        qualifying = overlaps.where(den * F.col("overlap") >= num * F.col("n"))
-        opened = qualifying.join(inside, "to").where(_fit("n", "mn", num, den)).select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
-        extra = written(_linked(_possible(opened, classes, num, den).unionByName(single), sets, num, den), "links")
-    labels = groups if extra is None or extra.isEmpty() else components(links.unionByName(extra))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets, read for them alone, are as similar as asked."""
+        wanted = written(classes.select("c", "id").join(ends(pairs), "c"), "wanted")
+        found = rows.select("id", "text").join(limited(wanted.select("id"), SENT_IDS), "id", "left_semi").select("text").mapInArrow(_whole(words), "c long, tokens array<long>")
+        sets = written(found.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"]), "sets")
+        return written(_linked(pairs, sets, num, den), "links")
+
+    held = classes.where("id is not null").select("c", "n", F.posexplode("keys").alias("i", "key"))
+    spread = held.groupBy("key").agg(F.count("*").alias("d"), F.min(F.struct("i", "c", "n")).alias("hub")).where("d > 1")
+    shared = written(held.join(spread.select("key", "hub"), "key"), "shared")
+    star = shared.where("c != hub.c").where(_fit("n", "hub.n", num, den) & _reach("n", "i", "hub.n", num, den) & _reach("hub.n", "hub.i", "n", num, den))
+    star = star.select(F.greatest("c", "hub.c").alias("a"), F.least("c", "hub.c").alias("b")).distinct()
+    links = linked(written(_possible(star, classes, num, den), "pairs"))
+    groups = components(links)
 
+    members = written(shared.select("key", "c", "n", "i").join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label"), "members")
+    per_key = members.groupBy("key", "g").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"))
+    x, y = per_key.alias("x"), per_key.alias("y")
+    sizes_fit = (F.col("x.most") * den >= F.col("y.n") * num) & (F.col("y.most") * den >= F.col("x.n") * num)
+    enough = lambda rest: F.col(rest) * (num + den) >= num * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, "key").where(F.col("x.g") < F.col("y.g")).where(sizes_fit & enough("x.rest") & enough("y.rest"))
+    met = met.select("key", F.col("x.g").alias("a"), F.col("y.g").alias("b"))
+    asked = written(met.select("a", "b").distinct(), "asked")
+    held_by = written(_parts(classes, groups).join(ends(asked).withColumnRenamed("c", "g"), "g", "left_semi"), "parts")
+    parts = written(_matrix(classes.select("c", "n", "most", "bins").join(held_by, "c"), "part"), "matrix")
+    of_group = written(held_by.select("g", "part").distinct(), "rows")
+    matrix = written(_matrix(parts.withColumnRenamed("c", "part").join(of_group, "part"), "g"), "matrix")
+    qualifying = written(_possible(asked, matrix, num, den), "qualifying")
+    labels = groups
+    if not qualifying.isEmpty():
+        inside = lambda pairs, of, group, member: pairs.join(of.select(F.col(group).alias("a"), F.col(member).alias("p")), "a").join(of.select(F.col(group).alias("b"), F.col(member).alias("q")), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+        closer = written(_possible(inside(qualifying, of_group, "g", "part"), parts, num, den), "qualifying")
+        opened = inside(closer, held_by, "part", "c")
+        extra = linked(written(_possible(opened, classes, num, den), "pairs"))
+        labels = groups if extra.isEmpty() else components(links.unionByName(extra))
     named = classes.select("c", "id").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    return docs.select("id", "digest", "n", "c"), named
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row for each input row: id, n_shingles, component_id (the least id reachable by links)."""
+    docs, named = _labelled(df, id_col, text_col, words, num, den, F.lit(None).cast("binary"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    components_of = named.join(least, "label").select("c", "component_id")
-    linked = docs.where("n > 0").select("id", "n", "c").join(components_of, "c")
+    linked = docs.where("n > 0").select("id", "n", "c").join(named.join(least, "label").select("c", "component_id"), "c")
     alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     out = linked.select("id", "n", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The input's rows that are the least id of their component, each id once, with all columns.
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The input's rows, with all columns, of which one of each component stays: its least id.
 
-    Rows without an id, which no component names, stay.
+    A row is known by its id and text, so ids may be null or repeated: of rows of one id and different
+    texts each is judged by its own text. A component without an id keeps one row, and of rows without
+    words those of one id and text count as one.
     """
-    kept = jaccard_components(df, id_col, text_col, **parameters).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    named = df.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(df.where(F.col(id_col).isNull()))
+    docs, named = _labelled(df, id_col, text_col, words, num, den, text_digest(text_col))
+    own = docs.where("n > 0").join(named.select("c", "label"), "c").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("k"))
+    kept = own.select("k.id", "k.digest").unionByName(docs.where("n = 0").select("id", "digest")).distinct()
+    kept = kept.select(_row_key("id", "digest").alias("__key"))
+    rows = df.withColumn("__key", _row_key(id_col, text_digest(text_col)))
+    return rows.join(kept, ["__key"], "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
+def _row_key(id_col: str, digest: str | Column) -> Column:
+    """A row's id and text as one digest; null text is a text of its own."""
+    return F.sha2(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.coalesce(F.hex(digest), F.lit("none"))), 256)

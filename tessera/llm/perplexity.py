@@ -34,8 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import grouped, unpack
-from tessera.llm.secrets import text_digest
-from tessera.llm.store import small_batches, written
+from tessera.llm.store import small_batches, text_digest, written
 from tessera.llm.text import segments, utf8
 
 ORDER = 4

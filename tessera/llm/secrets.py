@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import written
+from tessera.llm.store import text_digest, written
 
 #: Kind, pattern, the group that is the secret, its least length. In the order of kinds.
 BASE = (
@@ -80,11 +80,6 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _scanned(df, id_col, text_col, repository_col, owner_col, example_owners, F.lit(None).cast("binary")).select(F.col("id").alias(id_col), "spans")
 
 
-def text_digest(text_col: str) -> Column:
-    """SHA-256 of a text: with the id it tells rows apart where ids are null or repeated."""
-    return F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
-
-
 def _scanned(df: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str, example_owners: int, digest: Column) -> DataFrame:
     """id, digest and spans of each input row."""
     rows = df.select(

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,17 @@ def small_batches(spark: SparkSession, rows: int = 2) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def column(df: DataFrame, name: str, kind: str) -> F.Column:
+def limited(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked to be sent to all executors if it has at most ``rows`` rows; beyond, Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of a text: with the id it tells rows apart where ids are null or repeated."""
+    return F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
+
+
+def column(df: DataFrame, name: str, kind: str) -> Column:
     """A column by name, cast; null where the table hasn't got it."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 

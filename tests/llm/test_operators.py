@@ -135,9 +135,8 @@ def test_substring_dedup(docs, repeated, empty, spark):
     assert substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize(("words", "num", "few"), [(3, 90, 8), (5, 80, 1), (1, 50, 1)])
-def test_jaccard(spark, docs, words, num, few, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FEW", few)
+@pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80), (1, 50)])
+def test_jaccard(spark, docs, words, num):
     family = sentence(120).split()
     more = []
     for i in range(40):

@@ -30,3 +30,10 @@ def ml1(spark, sf_dir):
 def ml3(spark, sf_dir):
     a = view(spark, sf_dir, "audit").withColumn("prior_reliability", F.lit("ok")).withColumn("consecutive_failures", F.lit(0))
     return L.best_strategies(L.train(a.where("strategy is not null")), a)
+
+
+@query("ML2_cross_validated")
+def ml2(spark, sf_dir):
+    a = view(spark, sf_dir, "audit").withColumn("prior_reliability", F.lit("ok")).withColumn("consecutive_failures", F.lit(0))
+    found = L.train(a.where("strategy is not null"))
+    return spark.createDataFrame([(c, m.rows, m.accuracy, m.intercept, list(m.coefficients)) for c, m in found.items()], "category string, n long, accuracy double, intercept double, coefficients array<double>")

@@ -55,10 +55,10 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, source string").load(path)
 
 
-def unified_hits(hits: DataFrame) -> DataFrame:
-    """Search hits of several providers under one schema; hits with neither title nor URL are dropped."""
+def unified_hits(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Search hits of several providers under one schema, after the kept columns; hits with neither title nor URL are dropped."""
     known = lambda *names: F.coalesce(*(F.nullif(F.trim(F.col(n)), F.lit("")) for n in names if n in hits.columns), F.lit(""))
-    out = hits.select(known("title", "name").alias("title"), known("url", "link").alias("url"), known("content", "snippet").alias("content"))
+    out = hits.select(*keep, known("title", "name").alias("title"), known("url", "link").alias("url"), known("content", "snippet").alias("content"))
     return out.where("title != '' or url != ''")
 
 

@@ -2,7 +2,7 @@
 
 Operators that ask the whole corpus something about each block, and must then find the same rows
 again, shuffle blocks instead of rows: compressed, and each as a unit. A block is bounded by
-``BLOCK_BYTES`` of text, or holds one row that is longer.
+``most`` bytes of text (``BLOCK_BYTES``), or holds one row that is longer.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.store import partitions, shared_folder
@@ -23,12 +23,12 @@ BLOCK_BYTES, LEVEL = 6 << 20, 6
 SCHEMA = "block long, payload binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     count, task = 0, TaskContext.get().partitionId()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
     for batch in batches:
         _, offsets = utf8(batch.column("text"))
-        for a, b in segments(offsets, BLOCK_BYTES):
+        for a, b in segments(offsets, most):
             part = batch.slice(a, b - a)
             part = part.take(pa.compute.sort_indices(part.column("id")))
             sink = pa.BufferOutputStream()
@@ -38,22 +38,30 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count += 1
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` (columns id, a long, and text among others) as blocks, within which rows are ordered by id."""
-    return rows.mapInArrow(_pack, SCHEMA)
+    return rows.mapInArrow(lambda batches: _pack(batches, most), SCHEMA)
 
 
-def grouped(rows: DataFrame) -> DataFrame:
+def _groups(spark: SparkSession) -> int:
+    return min(partitions(spark), 100_000)
+
+
+def group_of(spark: SparkSession) -> Column:
+    """The group of the column ``block``."""
+    return F.pmod(F.xxhash64("block"), F.lit(_groups(spark)))
+
+
+def grouped(rows: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` as blocks in ``group``s, as many as shuffle partitions, written once to the shared folder.
 
     The table is bucketed by group, so that several jobs can join blocks by group without a shuffle
     of their own; a task writes a file for each group that it has blocks of.
     """
     spark = rows.sparkSession
-    groups = min(partitions(spark), 100_000)
     name = f"blocks_{uuid.uuid4().hex}"
-    held = blocks(rows).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    held.write.bucketBy(groups, "group").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    held = blocks(rows, most).withColumn("group", group_of(spark))
+    held.write.bucketBy(_groups(spark), "group").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 

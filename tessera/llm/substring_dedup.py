@@ -1,6 +1,7 @@
 """Substring deduplication by Rabin-Karp hashes of every fixed-length token window.
 
-1. Documents become blocks of a few megabytes. A block hashes each of its windows of ``window`` words.
+1. Documents become blocks of a few megabytes, written once, so that each later step, also one that is
+   run again after a lost executor, finds the same rows in them. A block hashes each of its windows of ``window`` words.
    A window that also starts in a smaller id of the block is marked there; of each other hash, the
    windows of its smallest id in the block go on. So a passage that a third of all documents hold
    goes on once for each block.
@@ -9,7 +10,8 @@
 3. A block gets all answers, merges the marked windows into maximal intervals and drops their words.
 
 Hashes have 56 bits and, of a second hash, the bucket; two different windows are taken for one with
-a probability of 2**-56 for each pair of a bucket, below 1e-4 for ten million windows in a bucket.
+a probability of 2**-56 for each pair of a bucket: 7e-4 for any of ten million windows in a bucket,
+and falling with the square of the windows in a bucket, of which there are as many as shuffle partitions.
 
 Null text has no words. A null id counts as larger than all others. Equal ids are one document, so
 repeated rows don't remove each other's words, and there is a row for each. An empty table gives an
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import blocks, from_planes, planes, unpack
+from tessera.llm.blocks import from_planes, group_of, grouped, planes, unpack
 from tessera.llm.store import partitions
 from tessera.llm.text import mix, rows_of, utf8, window_hashes, word_bounds, word_hashes
 
@@ -111,15 +113,16 @@ def _remove(window: int):
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, answers in zip(batch.column("payload"), batch.column("answers"), strict=True):
+            for block, payload, answers in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("answers"), strict=True):
                 rows = unpack(payload.as_py())
                 data, offsets = utf8(rows.column("text"))
                 starts, ends, first = word_bounds(data, offsets)
                 change = np.zeros(len(starts) + 1, np.int32)
-                for raw in answers.as_py() or ():
-                    at = _undelta(raw)
-                    change[at] += 1
-                    change[at + window] -= 1
+                for answer in answers.as_py() or ():
+                    if answer["block"] == block:
+                        at = _undelta(answer["at"])
+                        change[at] += 1
+                        change[at + window] -= 1
                 gone = np.cumsum(change)[:-1] > 0
                 own = rows_of(first)
                 opens = np.flatnonzero(gone & ~(np.append(False, gone[:-1]) & (own == np.append(-1, own[:-1]))))
@@ -151,9 +154,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each input row: id, n_words, removed (word intervals, end exclusive), kept_text."""
     buckets = partitions(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = blocks(rows).repartition("block")
-    asked = held.mapInArrow(_ask(window, buckets), ASKED)
+    held = grouped(rows)
+    asked = held.select("block", "payload").mapInArrow(_ask(window, buckets), ASKED)
     answers = asked.groupBy("bucket").applyInPandas(_answer(buckets), ANSWER)
-    by_block = answers.groupBy("block").agg(F.collect_list("at").alias("answers"))
-    out = held.join(by_block, "block", "left").mapInArrow(_remove(window), RESULT)
+    by_group = answers.groupBy(group_of(df.sparkSession).alias("group")).agg(F.collect_list(F.struct("block", "at")).alias("answers"))
+    out = held.join(by_group, "group", "left").select("block", "payload", "answers").mapInArrow(_remove(window), RESULT)
     return out.withColumnRenamed("id", id_col)

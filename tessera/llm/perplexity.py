@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's symbols are the bytes of UTF-8 and its order is four, so its n-grams are exact 32-bit
-numbers and a document of any script can be scored; each text is read after three line feeds.
+The model's symbols are the bytes of UTF-8, so a document of any script can be scored, and its n-grams
+of ``order`` bytes (six at most) are exact numbers; each text is read after ``order - 1`` line feeds.
 
 1. Documents become compressed blocks, in as many groups as there are shuffle partitions, written
    once, bucketed by group, so that text is never shuffled. Ids meet the labels without their texts.
@@ -12,8 +12,10 @@ numbers and a document of any script can be scored; each text is read after thre
    groups. So a frequent n-gram moves once for each group, not once for each occurrence.
 4. A group scores its documents: perplexity is the exponential of the mean negative log probability
    of a byte. For each language, quantiles of the trusted documents' perplexities are the thresholds,
-   upper for text unlike the trusted, lower for text that repeats itself; a language with fewer than
-   ``LEAST_TRUSTED`` trusted documents takes those of all. Quantiles are approximate within 1e-4 of the rank.
+   upper for text unlike the trusted, lower for text that repeats itself. Short texts spread more, so
+   a language has thresholds of its own for each power of four of the texts' bytes. Where these, or a
+   language, have fewer than ``LEAST_IN_BAND`` or ``LEAST_TRUSTED`` trusted documents, those of the
+   language, or of all, take their place. Quantiles are approximate within 1e-4 of the rank.
 
 Null and empty texts have no perplexity and are not kept. A null language is the language ''. A null
 id is scored and never trusted. Repeated rows are scored, and counted, each. Without trusted text
@@ -34,28 +36,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import grouped, unpack
-from tessera.llm.store import small_batches, text_digest, written
+from tessera.llm.store import limited, small_batches, text_digest, written
 from tessera.llm.text import segments, utf8
 
-ORDER = 4
+ORDER, MOST_ORDER = 4, 6
 LOW, HIGH, MARGIN = 0.001, 0.994, 0.03
 SLOT_BITS, FEW_LANGUAGES = 21, 10_000
-LEAST_TRUSTED = 1000  # 1 / LOW: quantiles of fewer documents are their range
-LP_UNIT = 1 << 24
-_LEAD = b"\n" * (ORDER - 1)
+LEAST_TRUSTED = LEAST_IN_BAND = 1000  # 1 / LOW: quantiles of fewer documents are their range
+BLOCK_BYTES = 3 << 20
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The n-gram, as a number, that ends at each byte of the texts."""
     n, rows = len(data), np.flatnonzero(np.diff(offsets) > 0)
-    out = data.astype(np.uint32)
-    for back in range(1, ORDER):
-        before = np.empty(n, np.uint32)
+    out = data.astype(np.uint64)
+    for back in range(1, order):
+        before = np.empty(n, np.uint64)
         before[back:] = data[:-back] if n > back else 0
         for j in range(back):  # the lead stands before each text
             at = offsets[rows] + j
             before[at[at < offsets[rows + 1]]] = 0x0A
-        out |= before << np.uint32(8 * back)
+        out |= before << np.uint64(8 * back)
     return out
 
 
@@ -85,32 +86,38 @@ def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of the trusted texts of a partition, with counts."""
-    found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
-    for batch in batches:
-        for payload, trusted in zip(batch.column("payload"), batch.column("trusted"), strict=True):
-            if trusted.is_valid:
-                rows = unpack(payload.as_py())
-                keep = pa.compute.is_in(rows.column("id"), trusted.values.combine_chunks() if isinstance(trusted.values, pa.ChunkedArray) else trusted.values)
-                found = [_merge([*found, *(distinct(grams(*t)) for t in _texts(rows, keep.to_numpy(zero_copy_only=False)))])]
-    keys, counts = found[0]
-    yield _batch({"gram": (keys.astype(np.int64), pa.int64()), "n": (counts, pa.int64())})
+def _count(order: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n-grams of the trusted texts of a partition, with counts."""
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for batch in batches:
+            for payload, trusted in zip(batch.column("payload"), batch.column("trusted"), strict=True):
+                if trusted.is_valid:
+                    rows = unpack(payload.as_py())
+                    keep = pa.compute.is_in(rows.column("id"), trusted.values.combine_chunks() if isinstance(trusted.values, pa.ChunkedArray) else trusted.values)
+                    found = [_merge([*found, *(distinct(grams(*t, order)) for t in _texts(rows, keep.to_numpy(zero_copy_only=False)))])]
+        keys, counts = found[0]
+        yield _batch({"gram": (keys.view(np.int64), pa.int64()), "n": (counts, pa.int64())})
 
+    return count
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each group."""
-    wanted: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for group, payload in zip(batch.column("group").to_pylist(), batch.column("payload"), strict=True):
-            parts = [distinct(grams(*t))[0] for t in _texts(unpack(payload.as_py()))]
-            wanted[group] = distinct(np.concatenate([wanted.get(group, np.zeros(0, np.uint32)), *parts]))[0]
-    for group, keys in wanted.items():
-        yield _batch({"group": (np.full(len(keys), group), pa.int64()), "gram": (keys.astype(np.int64), pa.int64())})
+
+def _ask(order: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct n-grams of each group."""
+        wanted: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for group, payload in zip(batch.column("group").to_pylist(), batch.column("payload"), strict=True):
+                parts = [distinct(grams(*t, order))[0] for t in _texts(unpack(payload.as_py()))]
+                wanted[group] = distinct(np.concatenate([wanted.get(group, np.zeros(0, np.uint64)), *parts]))[0]
+        for group, keys in wanted.items():
+            yield _batch({"group": (np.full(len(keys), group), pa.int64()), "gram": (keys.view(np.int64), pa.int64())})
+
+    return ask
 
 
 class _Lookup:
-    """Values of known 32-bit keys: most by one slot of a table, those that share a slot by search."""
+    """Values of known keys: most by one slot of a table, those that share a slot by search."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         by = np.argsort(keys)
@@ -118,11 +125,11 @@ class _Lookup:
         slots = self.slot(self.keys)
         self.table = np.full(1 << SLOT_BITS, np.nan, np.float32)
         self.table[slots] = self.values
-        self.table[np.flatnonzero(np.bincount(slots, minlength=1 << SLOT_BITS) > 1)] = np.nan
+        self.table[np.flatnonzero(np.bincount(slots.astype(np.int64), minlength=1 << SLOT_BITS) > 1)] = np.nan
 
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = self.table[self.slot(keys)]
@@ -131,29 +138,39 @@ class _Lookup:
         return out
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    group, known = None, None
-    for batch in batches:
-        for i in range(batch.num_rows):
-            rows, answer = unpack(batch.column("payload")[i].as_py()), batch.column("answer")[i]
-            means, sizes, digests = [np.zeros(0)], [np.zeros(0, np.int64)], []
-            if answer.is_valid and group != batch.column("group")[i].as_py():
-                flat = np.asarray(answer.values).view(np.uint64)
-                known = _Lookup((flat >> np.uint64(32)).astype(np.uint32), (flat & np.uint64(0xFFFFFFFF)) / -float(LP_UNIT))
-                group = batch.column("group")[i].as_py()
-            for data, offsets in _texts(rows):
-                n = np.diff(offsets)
-                sums = np.zeros(len(n))
-                if answer.is_valid and len(data):
-                    total = np.concatenate(([0.0], np.cumsum(known(grams(data, offsets)), dtype=np.float64)))
-                    sums = total[offsets[1:]] - total[offsets[:-1]]
-                means.append(np.divide(sums, n, out=np.full(len(n), np.nan), where=n > 0) if answer.is_valid else np.full(len(n), np.nan))
-                sizes.append(n)
-                raw = data.tobytes()
-                digests += [hashlib.sha256(raw[a:b]).digest() for a, b in pairwise(offsets.tolist())]
-            mean = np.concatenate(means)
-            ppl = pa.array(np.exp(-mean), pa.float64(), from_pandas=True)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("lang"), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes), pa.int64()), ppl], ["id", "lang", "digest", "n_bytes", "perplexity"])
+def _unit(order: int) -> int:
+    """What a natural log probability is multiplied by, to fit with its n-gram in one number."""
+    return 1 << (64 - 8 * order - 6)
+
+
+def _score(order: int):
+    bits = 64 - 8 * order
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, answer = unpack(batch.column("payload")[i].as_py()), batch.column("answer")[i]
+                means, sizes, digests = [np.zeros(0)], [np.zeros(0, np.int64)], []
+                if answer.is_valid and group != batch.column("group")[i].as_py():
+                    flat = np.asarray(answer.values).view(np.uint64)
+                    known = _Lookup(flat >> np.uint64(bits), (flat & np.uint64((1 << bits) - 1)) / -float(_unit(order)))
+                    group = batch.column("group")[i].as_py()
+                for data, offsets in _texts(rows):
+                    n = np.diff(offsets)
+                    sums = np.zeros(len(n))
+                    if answer.is_valid and len(data):
+                        total = np.concatenate(([0.0], np.cumsum(known(grams(data, offsets, order)), dtype=np.float64)))
+                        sums = total[offsets[1:]] - total[offsets[:-1]]
+                    means.append(np.divide(sums, n, out=np.full(len(n), np.nan), where=n > 0) if answer.is_valid else np.full(len(n), np.nan))
+                    sizes.append(n)
+                    raw = data.tobytes()
+                    digests += [hashlib.sha256(raw[a:b]).digest() for a, b in pairwise(offsets.tolist())]
+                mean = np.concatenate(means)
+                ppl = pa.array(np.exp(-mean), pa.float64(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("lang"), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes), pa.int64()), ppl], ["id", "lang", "digest", "n_bytes", "perplexity"])
+
+    return score
 
 
 def _discounts(table: DataFrame) -> Column:
@@ -168,11 +185,11 @@ def _discounts(table: DataFrame) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+def probabilities(counts: DataFrame, wanted: DataFrame, most: int = ORDER) -> DataFrame:
     """gram and lp, its natural log probability, for the n-grams of ``wanted``; ``counts``: gram, n."""
     out = wanted.select("gram", F.lit(0.0).alias("p"), F.lit(1.0).alias("rest"))
     table = counts
-    for order in range(ORDER, 0, -1):
+    for order in range(most, 0, -1):
         table = written(table, "counts")
         held = table.select("gram", F.col("n").cast("double").alias("n"), _discounts(table).alias("d"))
         sums = held.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("s"), F.sum("d").alias("kept"))
@@ -194,47 +211,50 @@ def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield unpack(payload).select(["id"]).to_pandas().dropna().astype("int64").assign(group=group)
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = ORDER) -> DataFrame:
     """One row for each input row: id, lang, n_bytes, perplexity, low, high (the thresholds), kept."""
-    return _judged(docs, labels, id_col, text_col, lang_col, label_col).drop("digest")
+    return _judged(docs, labels, id_col, text_col, lang_col, label_col, order).drop("digest")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, order: int) -> DataFrame:
     """``quality`` with the digest of each text."""
+    if not 2 <= order <= MOST_ORDER:
+        raise ValueError(f"the order must be from 2 to {MOST_ORDER}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    held = grouped(rows)
+    held = grouped(rows, BLOCK_BYTES)
     good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("q")).where("q = 1").select("id")
     trusted = held.select("group", "payload").mapInPandas(_ids, "id long, group long").join(good, "id")
     by_group = trusted.groupBy("group").agg(F.collect_set("id").alias("trusted"))
-    counted = held.join(by_group, "group").select("payload", "trusted").mapInArrow(_count, "gram long, n long")
+    counted = held.join(by_group, "group").select("payload", "trusted").mapInArrow(_count(order), "gram long, n long")
     with small_batches(docs.sparkSession):
         counts = written(counted.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     any_trusted = not counts.isEmpty()
     if any_trusted:
-        asked = held.select("group", "payload").mapInArrow(_ask, "group long, gram long")
+        asked = held.select("group", "payload").mapInArrow(_ask(order), "group long, gram long")
         with small_batches(docs.sparkSession):
             asked = written(asked, "asked")
-        packed = F.shiftleft("gram", 32).bitwiseOR(F.round(F.col("lp") * -LP_UNIT).cast("long"))  # one number each: a group's answer is held whole
-        answers = asked.join(probabilities(counts, asked.select("gram").distinct()), "gram").groupBy("group").agg(F.collect_list(packed).alias("answer"))
+        packed = F.shiftleft("gram", 64 - 8 * order).bitwiseOR(F.round(F.col("lp") * -_unit(order)).cast("long"))  # one number each: a group's answer is held whole
+        answers = asked.join(probabilities(counts, asked.select("gram").distinct(), order), "gram").groupBy("group").agg(F.collect_list(packed).alias("answer"))
         scored = held.join(answers, "group", "left")
     else:
         scored = held.withColumn("answer", F.lit(None).cast("array<bigint>"))
     with small_batches(docs.sparkSession):
-        scored = written(scored.select("group", "payload", "answer").mapInArrow(_score, "id long, lang string, digest binary, n_bytes long, perplexity double"), "scored")
+        scored = written(scored.select("group", "payload", "answer").mapInArrow(_score(order), "id long, lang string, digest binary, n_bytes long, perplexity double"), "scored")
     base = scored.where("perplexity is not null").join(good, "id", "left_semi")
     edges = F.percentile_approx("perplexity", [LOW, HIGH], 10_000)
+    band = F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2)
     limits = base.groupBy("lang").agg(edges.alias("e"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).drop("n")
-    if limits.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES:  # else Spark joins them by a shuffle
-        limits = F.broadcast(limits)
+    narrow = base.groupBy("lang", band.alias("band")).agg(edges.alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_IN_BAND).drop("n")
     whole = base.agg(edges.alias("every"))
-    out = scored.join(F.broadcast(whole)).join(limits, "lang", "left").withColumn("e", F.coalesce("e", "every"))
+    out = scored.withColumn("band", band).join(F.broadcast(whole)).join(limited(limits, FEW_LANGUAGES), "lang", "left").join(limited(narrow, FEW_LANGUAGES), ["lang", "band"], "left")
+    out = out.withColumn("e", F.coalesce("own", "e", "every"))
     out = out.withColumn("low", F.col("e")[0] * (1 - MARGIN)).withColumn("high", F.col("e")[1] * (1 + MARGIN))
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return out.select(F.col("id").alias(id_col), "lang", "digest", "n_bytes", "perplexity", "low", "high", kept.alias("kept"))
 
 
-def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", order: int = ORDER) -> DataFrame:
     """The input's rows that ``quality`` keeps, with all columns; a row is judged by its id, language and text."""
-    kept = _judged(docs, labels, id_col, text_col, lang_col, label_col).where("kept").select(F.col(id_col).alias("__id"), F.col("lang").alias("__lang"), F.col("digest").alias("__digest")).distinct()
+    kept = _judged(docs, labels, id_col, text_col, lang_col, label_col, order).where("kept").select(F.col(id_col).alias("__id"), F.col("lang").alias("__lang"), F.col("digest").alias("__digest")).distinct()
     own = F.col(id_col).eqNullSafe(F.col("__id")) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("__lang")) & (text_digest(text_col) == F.col("__digest"))
     return docs.join(kept, own, "left_semi")

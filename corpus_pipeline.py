@@ -22,7 +22,7 @@ ORACLE_SQL = None
 
 def quality_classifier(spark, docs, sf_dir):
     """Documents that the language model doesn't reject."""
-    return kept_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return kept_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"), order=5)
 
 
 def exact_dedup(spark, docs, sf_dir):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import written
+from tessera.llm.store import release, written
 from tessera.llm.text import hash_spans, utf8
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, task int, rank long"
@@ -175,6 +175,7 @@ def _pieces(path: str, size: int, end_id: int):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
         finally:
             encoder(path).clear()  # workers live on, and other stages need their memory
+            release()
 
     return cut
 

@@ -36,27 +36,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import grouped, unpack
-from tessera.llm.store import limited, small_batches, text_digest, written
+from tessera.llm.store import limited, release, small_batches, text_digest, written
 from tessera.llm.text import segments, utf8
 
 ORDER, MOST_ORDER = 4, 6
 LOW, HIGH, MARGIN = 0.001, 0.994, 0.03
 SLOT_BITS, FEW_LANGUAGES = 21, 10_000
 LEAST_TRUSTED = LEAST_IN_BAND = 1000  # 1 / LOW: quantiles of fewer documents are their range
-BLOCK_BYTES = 3 << 20
+STEP_BYTES = 1 << 18  # of text whose n-grams are held at a time
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The n-gram, as a number, that ends at each byte of the texts."""
     n, rows = len(data), np.flatnonzero(np.diff(offsets) > 0)
-    out = data.astype(np.uint64)
+    kind = np.uint32 if order <= 4 else np.uint64
+    out = data.astype(kind)
     for back in range(1, order):
-        before = np.empty(n, np.uint64)
+        before = np.empty(n, kind)
         before[back:] = data[:-back] if n > back else 0
         for j in range(back):  # the lead stands before each text
             at = offsets[rows] + j
             before[at[at < offsets[rows + 1]]] = 0x0A
-        out |= before << np.uint64(8 * back)
+        out |= before << kind(8 * back)
     return out
 
 
@@ -78,7 +79,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def _texts(rows: pa.RecordBatch, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     column = rows.column("text")
     data, offsets = utf8(column if keep is None else column.filter(pa.array(keep)))
-    for a, b in segments(offsets):
+    for a, b in segments(offsets, STEP_BYTES):
         yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -89,7 +90,7 @@ def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
 def _count(order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n-grams of the trusted texts of a partition, with counts."""
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         for batch in batches:
             for payload, trusted in zip(batch.column("payload"), batch.column("trusted"), strict=True):
                 if trusted.is_valid:
@@ -97,7 +98,9 @@ def _count(order: int):
                     keep = pa.compute.is_in(rows.column("id"), trusted.values.combine_chunks() if isinstance(trusted.values, pa.ChunkedArray) else trusted.values)
                     found = [_merge([*found, *(distinct(grams(*t, order)) for t in _texts(rows, keep.to_numpy(zero_copy_only=False)))])]
         keys, counts = found[0]
-        yield _batch({"gram": (keys.view(np.int64), pa.int64()), "n": (counts, pa.int64())})
+        del found
+        release()
+        yield _batch({"gram": (keys.astype(np.int64), pa.int64()), "n": (counts, pa.int64())})
 
     return count
 
@@ -109,9 +112,10 @@ def _ask(order: int):
         for batch in batches:
             for group, payload in zip(batch.column("group").to_pylist(), batch.column("payload"), strict=True):
                 parts = [distinct(grams(*t, order))[0] for t in _texts(unpack(payload.as_py()))]
-                wanted[group] = distinct(np.concatenate([wanted.get(group, np.zeros(0, np.uint64)), *parts]))[0]
+                wanted[group] = distinct(np.concatenate([wanted.get(group, np.zeros(0, np.uint32)), *parts]))[0]
+        release()
         for group, keys in wanted.items():
-            yield _batch({"group": (np.full(len(keys), group), pa.int64()), "gram": (keys.view(np.int64), pa.int64())})
+            yield _batch({"group": (np.full(len(keys), group), pa.int64()), "gram": (keys.astype(np.int64), pa.int64())})
 
     return ask
 
@@ -129,7 +133,7 @@ class _Lookup:
 
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = self.table[self.slot(keys)]
@@ -169,6 +173,8 @@ def _score(order: int):
                 mean = np.concatenate(means)
                 ppl = pa.array(np.exp(-mean), pa.float64(), from_pandas=True)
                 yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("lang"), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes), pa.int64()), ppl], ["id", "lang", "digest", "n_bytes", "perplexity"])
+        known = None
+        release()
 
     return score
 
@@ -221,7 +227,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     if not 2 <= order <= MOST_ORDER:
         raise ValueError(f"the order must be from 2 to {MOST_ORDER}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    held = grouped(rows, BLOCK_BYTES)
+    held = grouped(rows)
     good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("q")).where("q = 1").select("id")
     trusted = held.select("group", "payload").mapInPandas(_ids, "id long, group long").join(good, "id")
     by_group = trusted.groupBy("group").agg(F.collect_set("id").alias("trusted"))

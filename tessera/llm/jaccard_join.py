@@ -19,7 +19,7 @@ their sets' Jaccard similarity is ``num / den`` or more.
 5. Only groups that qualify are opened. The union of a large group says little, so its members also
    form parts of about ``PART`` classes, each with a row of its own: parts of qualifying groups meet
    first, then the members of qualifying parts, by their own bins. What is left is compared in full.
-6. The links' connected components are the result.
+6. The links' connected components are the result; links found in step 5 join whole groups.
 
 A group of one class has that class's bins as its row, so 4 and 5 are one way for all sizes. No group
 is held by one task: its row is combined from its parts' rows, within partitions first, and the rest
@@ -260,6 +260,15 @@ def _reach(n: str, i: str, m: str, num: int, den: int) -> Column:
     return (F.col(n) - F.col(i)) * (num + den) >= num * (F.col(n) + F.col(m))
 
 
+def _merged(groups: DataFrame, extra: DataFrame, classes: DataFrame) -> DataFrame:
+    """``groups`` (c, label) after further links (a, b) between ``classes``: only the groups that these meet are linked again."""
+    own = written(classes.join(groups, "c", "left").select("c", F.coalesce("label", "c").alias("g")), "groups")
+    met = extra.join(own.select(F.col("c").alias("a"), F.col("g").alias("x")), "a").join(own.select(F.col("c").alias("b"), F.col("g").alias("y")), "b")
+    over = components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("c", "g").withColumnRenamed("label", "least")
+    every = groups.withColumnRenamed("label", "g").unionByName(own).distinct()
+    return every.join(over, "g", "left").select("c", F.coalesce("least", "g").alias("label"))
+
+
 def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, digest: Column) -> tuple[DataFrame, DataFrame]:
     """A row for each input row (id, digest, n, c), and for each class: c, id, label."""
     spark = df.sparkSession
@@ -304,7 +313,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, num: int, d
         closer = written(_possible(inside(qualifying, of_group, "g", "part"), parts, num, den), "qualifying")
         opened = inside(closer, held_by, "part", "c")
         extra = linked(written(_possible(opened, classes, num, den), "pairs"))
-        labels = groups if extra.isEmpty() else components(links.unionByName(extra))
+        labels = groups if extra.isEmpty() else _merged(groups, extra, ends(extra))
     named = classes.select("c", "id").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     return docs.select("id", "digest", "n", "c"), named
 

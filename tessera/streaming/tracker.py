@@ -1,15 +1,19 @@
 """The per-key score of turns: one fold, in batch over sorted turns and in streams over keyed state.
 
 State: score (decays to 0 after idle turns, clamped), last turn, cooldown, failures in a row, the turn
-that a bad run began, and the best delta so far. Batch folds a key's turns with a higher-order
-function; the stream keeps the same fields for each key and takes turns as they come, late ones too,
-in the order of arrival.
+that a bad run began, and the best delta so far. Batch carries the state along a
+partition's sorted turns; the stream keeps the same fields for each key and takes turns as they come,
+late ones too, in the order of arrival.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,60 +21,58 @@ from tessera.functions import score as S
 
 STATE = "score double, last_turn long, cooldown long, failures long, bad_turn long, best double"
 TURN = "turn long, words int, duration_ms double, cost_usd double, structured boolean"
+Turn = namedtuple("Turn", [f.split()[0] for f in TURN.split(", ")])
+START = (0.0, 0, 0, 0, None, None)
 RESULT = "turn long, score double, delta double, quality_target int, recovery_turns long, regret double, cooldown long, failures long"
 
 
-def _round3(x: Column) -> Column:
-    return F.round(x.cast("decimal(18,9)"), 3).cast("double")
+def folded(turns: DataFrame, key: str) -> DataFrame:
+    """Every turn of every key with its results; ``turns``: key and the fields of TURN.
 
+    The turns of a key follow each other in one sorted partition and only the state is carried along,
+    so no key's history is held. Turns of a null key are a key's. Null words, times and costs count as
+    in ``step``; a null turn comes first and never counts as idle.
+    """
+    fields = [f.split() for f in TURN.split(", ")]
+    typed = turns.select(key, *(F.col(n).cast(t).alias(n) for n, t in fields))
+    order = [key, *(n for n, _ in fields)]
+    return typed.repartition(key).sortWithinPartitions(*order).mapInArrow(_folds(key), f"`{key}` {typed.schema[key].dataType.simpleString()}, {RESULT}")
 
-def step(state: Column, turn: Column) -> Column:
-    """The state after a turn, and what the turn gave."""
-    rel = S.reliability(turn["words"])
-    ok, strong = rel.isin("ok_weak", "ok_strong"), rel == "ok_strong"
-    before = F.when(turn["turn"] - state["last_turn"] > S.IDLE_TURNS, F.lit(0.0)).otherwise(state["score"])
-    failures = F.when(ok, F.lit(0).cast("long")).otherwise(state["failures"] + 1)
-    delta = S.delta(turn["words"], turn["duration_ms"], turn["cost_usd"], turn["structured"], failures)
-    score = S.clamped(_round3(before + delta))
-    score = F.when(turn["structured"] & strong, S.clamped(score + S.STRUCTURED_BONUS)).otherwise(score)
-    best = F.greatest(F.coalesce(state["best"], delta), delta)
-    return F.struct(
-        score.alias("score"), turn["turn"].alias("last_turn"), F.when(strong, F.lit(S.COOLDOWN).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), state["cooldown"] - 1)).alias("cooldown"), failures.alias("failures"),
-        F.when(~ok, turn["turn"]).alias("bad_turn"), best.alias("best"), delta.alias("delta"), F.when(strong, 1).otherwise(0).alias("quality_target"),
-        F.when(ok & state["bad_turn"].isNotNull(), turn["turn"] - state["bad_turn"]).alias("recovery_turns"), _round3(best - delta).alias("regret"),
-    )
 
+def _folds(key: str):
+    kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
-def folded(turns: DataFrame, key: str) -> DataFrame:
-    """Every turn of every key with its results; ``turns``: key and the fields of TURN."""
-    kind = "struct<score:double,last_turn:bigint,cooldown:bigint,failures:bigint,bad_turn:bigint,best:double,delta:double,quality_target:int,recovery_turns:bigint,regret:double>"
-    first = F.struct(F.lit(0.0), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("double")).cast(kind)
-    typed = turns.select(key, F.struct(*(F.col(n).cast(t).alias(n) for n, t in (f.split() for f in TURN.split(", ")))).alias("t"))
-    fold = F.aggregate(
-        F.sort_array(F.collect_list("t")),
-        F.struct(first.alias("s"), F.array().cast(f"array<{kind}>").alias("out")),
-        lambda acc, t: F.struct(step(acc["s"], t).cast(kind).alias("s"), F.concat(acc["out"], F.array(step(acc["s"], t).cast(kind))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    rows = typed.groupBy(key).agg(fold.alias("out")).select(key, F.explode("out").alias("o"))
-    return rows.select(key, F.col("o.last_turn").alias("turn"), "o.score", "o.delta", "o.quality_target", "o.recovery_turns", "o.regret", "o.cooldown", "o.failures")
-
-
-def _plain(state: tuple, turn) -> tuple[tuple, tuple]:
-    """``step`` on Python values, for keyed state."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state = None, START
+        for batch in batches:
+            out = []
+            for k, *turn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != own:
+                    own, state = k, START
+                state, result = step(state, Turn(*turn))
+                out.append(result)
+            results = [pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *results], [key, *(f.split()[0] for f in RESULT.split(", "))])
+
+    return run
+
+
+def step(state: tuple, turn) -> tuple[tuple, tuple]:
+    """The state after a turn, and what the turn gave. Null words are strong and without quality of their own."""
     score, last, cooldown, failures, bad, best = state
-    rel = next((name for name, below in S.RELIABILITY if turn.words < below), "ok_strong")
+    words, dollars, millis = (0.0 if pd.isna(x) else float(x) for x in (turn.words, turn.cost_usd, turn.duration_ms))
+    rel = next((name for name, below in S.RELIABILITY if turn.words is not None and turn.words < below), "ok_strong")
     ok, strong = rel in ("ok_weak", "ok_strong"), rel == "ok_strong"
-    score = 0.0 if turn.turn - last > S.IDLE_TURNS else score
+    known = turn.turn is not None
+    score = 0.0 if known and last is not None and turn.turn - last > S.IDLE_TURNS else score
     failures = 0 if ok else failures + 1
-    cost = 0.0 if pd.isna(turn.cost_usd) else turn.cost_usd
-    latency = min((0.0 if pd.isna(turn.duration_ms) else turn.duration_ms) / S.MILLIS, 1.0)
-    parts = (1.0, latency * S.STRUCTURED_LATENCY, 0.0) if turn.structured else (min(turn.words / S.WORDS, 1.0), latency, min(cost / S.DOLLARS, 1.0))
+    latency = min(millis / S.MILLIS, 1.0)
+    parts = (1.0, latency * S.STRUCTURED_LATENCY, 0.0) if turn.structured else (min(words / S.WORDS, 1.0), latency, min(dollars / S.DOLLARS, 1.0))
     delta = _half_up(parts[0] - S.LATENCY_WEIGHT * parts[1] - S.COST_WEIGHT * parts[2] + (S.REPEATED_FAILURE if failures >= 2 else 0.0))
     clamp = lambda x: max(S.LEAST_SCORE, min(S.MOST_SCORE, x))
     score = clamp(_half_up(score + delta))
     score = clamp(score + S.STRUCTURED_BONUS) if turn.structured and strong else score
-    recovery = turn.turn - bad if ok and bad is not None else None
+    recovery = turn.turn - bad if ok and known and bad is not None else None
     best = delta if best is None else max(best, delta)
     cooldown = S.COOLDOWN if strong else max(0, cooldown - 1)
     return (score, turn.turn, cooldown, failures, None if ok else turn.turn, best), (turn.turn, score, delta, int(strong), recovery, _half_up(best - delta), cooldown, failures)
@@ -79,19 +81,19 @@ def _plain(state: tuple, turn) -> tuple[tuple, tuple]:
 def _half_up(x: float) -> float:
     from decimal import ROUND_HALF_UP, Decimal
 
-    return float(Decimal(f"{x:.9f}").quantize(Decimal("0.001"), ROUND_HALF_UP))
+    return float(Decimal(f"{x:.9f}").quantize(Decimal("0.001"), ROUND_HALF_UP)) + 0.0  # no negative zero
 
 
 def tracked(turns: DataFrame, key: str, kind: str = "string"):
     """A stream of turns as a stream of their results; state is kept for each key."""
 
     def run(keys, frames, state: GroupState):
-        now = state.get if state.exists else (0.0, 0, 0, 0, None, None)
+        now = state.get if state.exists else START
         now = tuple(None if x is not None and pd.isna(x) else x for x in now)
         for frame in frames:
             out = []
             for turn in frame.sort_values("turn").itertuples():
-                now, result = _plain(now, turn)
+                now, result = step(now, turn)
                 out.append((keys[0], *result))
             yield pd.DataFrame(out, columns=[key, *(f.split()[0] for f in RESULT.split(", "))]).astype({"recovery_turns": "Int64"})
         state.update(now)

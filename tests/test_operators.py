@@ -101,7 +101,7 @@ def plain_fold():
     state, out = (0.0, 0, 0, 0, None, None), []
     for t in TURNS:
         row = type("Turn", (), dict(zip(("turn", "words", "duration_ms", "cost_usd", "structured"), t, strict=True)))
-        state, result = tracker._plain(state, row)
+        state, result = tracker.step(state, row)
         out.append(result)
     return out
 

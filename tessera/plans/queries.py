@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tessera.plans.registry import QUERIES, SQL
 
-MODULES = ("q_telemetry", "q_sessions", "q_records", "q_ranking", "q_rules", "q_listings", "q_state")
+MODULES = ("q_telemetry", "q_sessions", "q_records", "q_ranking", "q_rules", "q_listings", "q_choices", "q_state")
 
 
 def _load() -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_dedup", "q_chat", "q_secrets", "q_topk", "q_packing", "q_substring", "q_jaccard", "q_toxicity", "q_perplexity", "q_pieces", "q_whitening", "q_bpe")
+MODULES = ("q_dedup", "q_chat", "q_secrets", "q_topk", "q_packing", "q_substring", "q_jaccard", "q_toxicity", "q_perplexity", "q_pieces", "q_spelling", "q_whitening", "q_bpe")
 
 
 def queries() -> dict:

@@ -3,19 +3,19 @@
 A byte pair that stands inside no token of the vocabulary is a certain cut: no merge ever joins its
 two bytes, so what lies on either side is encoded alone, whatever surrounds it. The cuts of a text are
 
-1. white space in ASCII, at which a text falls into chunks, and the strings of special tokens;
-2. within a chunk, the borders of the tokenizer file's own word rule;
+1. the strings of special tokens, and white space, which no token holds;
+2. the borders of words by the tokenizer file's own rule;
 3. within a word, each byte pair that no token holds.
 
-Each distinct fragment is encoded once a worker, by the file's merges; a word's last fragment takes the
-end-of-word mark, the others don't. A text's ids are those of its fragments, one after the other, which
-are the ids that the tokenizers library gives for the whole text. Decoding joins the tokens by one
-space, as the library does for a file without a decoder.
+A worker encodes each fragment by the file's merges when it meets its word first, and keeps the word's ids
+for a while; a word's last fragment takes the end-of-word mark, the others don't. A text's ids are those of its
+fragments, one after the other, which are the ids that the tokenizers library gives for the whole text. Decoding
+joins the tokens by one space, as the library does for a file without a decoder.
 
 Null text is empty text, which has no ids. Null ids decode to the empty text, null or unknown ids within
 a list are left out. Rows are independent, so repeated rows and ids, ties and null ids of rows come back as they are, and an
 empty table gives an empty result. Only the named columns are read. A long text is worked off in
-pieces of a megabyte, cut at white space; a chunk or a fragment is held whole, however long.
+pieces of a megabyte, cut at white space; what has no white space is held whole, however long.
 """
 
 from __future__ import annotations
@@ -26,89 +26,112 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import release
 from tessera.llm.text import SEGMENT_BYTES, segments, utf8
 
-_ASCII_SPACE = re.compile(rb"[ \t\n\r\x0b\f]")
+_SPACE = re.compile(r"[ \t\n\r\x0b\f]")
+
+#: The normaliser and the word rule of the files whose words ``LATIN`` finds in lower-cased text without characters from U+0180 on.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_L, _N, _S = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \\t\\n\\r\\x0b\\f\u0085\u00a0"
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}{_S}]+")
+_OTHER = re.compile("[^\\x00-\u017f]")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter of each byte in byte-level vocabularies: printable bytes are themselves, the others follow U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of chunks. Holds the ids of chunks and fragments that it has met, up to ``most`` bytes of text."""
+    """Ids of words. Holds those of the words that it has met, up to ``most`` letters."""
 
-    def __init__(self, path: str, most: int = 24 << 20):
+    def __init__(self, path: str, most: int = 3 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        whole, model = Tokenizer.from_file(path), file["model"]
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in file["added_tokens"]):
+        model, added, before = file["model"], file["added_tokens"], file["pre_tokenizer"]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens that take more than their own string are not supported")
-        self.normalise = whole.normalizer.normalize_str if whole.normalizer else lambda s: s
-        self.words = whole.pre_tokenizer.pre_tokenize_str
-        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        steps = before.get("pretokenizers", [before])
+        if steps[-1]["type"] != "ByteLevel" or steps[-1]["add_prefix_space"]:
+            raise ValueError("only byte-level vocabularies without a first space are supported")
+        self.latin = file["normalizer"] == NORMALISER and steps[:-1] == [WORDS] and not steps[-1]["use_regex"]
+        self.special = {t["content"]: t["id"] for t in added}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        bare = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
+        self.joined = joined_pairs(model["vocab"], model.get("end_of_word_suffix") or "")
+        bare = dict.fromkeys(file) | {"version": file["version"], "added_tokens": []}
         self.last = Tokenizer.from_str(json.dumps(bare | {"model": model}))
         self.inner = Tokenizer.from_str(json.dumps(bare | {"model": model | {"end_of_word_suffix": None}}))
-        self.joined = joined_pairs(model["vocab"], model.get("end_of_word_suffix") or "")
+        del file, model, bare
+        whole = Tokenizer.from_file(path)
+        self.normalise = whole.normalizer.normalize_str if whole.normalizer else lambda s: s
+        self.rule = whole.pre_tokenizer.pre_tokenize_str
+        self.letters = byte_letters()
         self.most = most
         self.clear()
+        release()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.start, self.count, self.ids = array("q"), array("q"), array("i")
-        self.known: dict[tuple[str, bool], list[int]] = {}
         self.held = 0
+        for text, i in self.special.items():  # no word holds white space, so these keys are no words
+            self._add(" " + text, [i])
+
+    def _add(self, word: str, ids: list[int]) -> None:
+        self.index[word] = len(self.start)
+        self.start.append(len(self.ids))
+        self.count.append(len(ids))
+        self.ids.extend(ids)
+        self.held += len(word)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, normalised; a special token is a space and its string."""
+        if self.at_special and self.at_special.search(text):
+            return [w for x in self.at_special.split(text) for w in ([" " + x] if x in self.special else self.words(x))]
+        if self.latin and not _OTHER.search(text):
+            return LATIN.findall(text.lower())
+        text = self.normalise(text)
+        return [text[a:b] for _, (a, b) in self.rule(text)]
 
     def fragments(self, word: str) -> list[str]:
-        """The parts of a word between its forced boundaries."""
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def parts(self, chunk: str) -> list[int | tuple[str, bool]]:
-        """A chunk as special ids and (fragment, whether it ends a word)."""
-        out: list = []
-        for piece in self.at_special.split(chunk) if self.at_special else [chunk]:
-            if piece in self.special:
-                out.append(self.special[piece])
-            elif piece:
-                for word, _ in self.words(self.normalise(piece)):
-                    found = self.fragments(word)
-                    out += [(x, False) for x in found[:-1]]
-                    out.append((found[-1], True))
-        return out
-
-    def learn(self, chunks: set[bytes]) -> None:
-        split = [(c, self.parts(c.decode("utf-8", "replace"))) for c in sorted(chunks)]
-        new = {x for _, own in split for x in own if isinstance(x, tuple) and x not in self.known}
-        for ends, tokenizer in ((True, self.last), (False, self.inner)):
-            of = [x for x in new if x[1] == ends]
-            for x, found in zip(of, tokenizer.encode_batch_fast([x[0] for x in of], add_special_tokens=False), strict=True):
-                self.known[x] = found.ids
-                self.held += len(x[0])
-        for chunk, own in split:
-            self.index[chunk] = len(self.start)
-            self.start.append(len(self.ids))
-            for x in own:
-                self.ids.extend(self.known[x] if isinstance(x, tuple) else [x])
-            self.count.append(len(self.ids) - self.start[-1])
-            self.held += len(chunk)
-
-    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks, one after the other, and the number of each."""
+        """The parts of a word, as letters of bytes, between its forced boundaries."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.joined]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+    def learn(self, words: set[str]) -> None:
+        split = [(w, self.fragments(w)) for w in words]
+        ids = []
+        for tokenizer, of in ((self.last, {x[-1] for _, x in split}), (self.inner, {f for _, x in split for f in x[:-1]})):
+            of = list(of)
+            ids.append(dict(zip(of, (x.ids for x in tokenizer.encode_batch_fast(of, add_special_tokens=False)), strict=True)))
+        last, inner = ids
+        for word, own in split:
+            self._add(word, [i for f in own[:-1] for i in inner[f]] + last[own[-1]])
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and the number of each."""
         if self.held > self.most:
             self.clear()
-        self.learn({c for c in chunks if c not in self.index})
-        at = np.fromiter(map(self.index.get, chunks), np.int64, len(chunks))
+        self.learn({w for w in words if w not in self.index})
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         counts = np.frombuffer(self.count, np.int64)[at] if len(at) else at
-        if not counts.sum():
+        if not len(at):
             return np.zeros(0, np.int32), counts
         first = np.repeat(np.frombuffer(self.start, np.int64)[at] - (np.cumsum(counts) - counts), counts)
         return np.frombuffer(self.ids, np.int32)[first + np.arange(len(first))], counts
@@ -137,42 +160,49 @@ def tokens(path: str) -> dict[int, str]:
     return {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
 
 
-def portions(text: bytes, most: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """A text in pieces of ``most`` bytes or a little more, each but the last up to white space."""
+def portions(text: str, most: int = SEGMENT_BYTES) -> Iterator[str]:
+    """A text in pieces of ``most`` characters or a little more, each but the last up to white space."""
     at = 0
     while at < len(text):
-        found = _ASCII_SPACE.search(text, at + most)
+        found = _SPACE.search(text, at + most)
         end = found.start() if found else len(text)
         yield text[at:end]
         at = end
 
 
+def _text(ids: np.ndarray, known: dict[int, str], step: int = 1 << 17) -> str:
+    return " ".join(x for a in range(0, len(ids), step) if (x := " ".join(filter(None, map(known.get, ids[a : a + step].tolist())))))
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         for a, b in segments(offsets):
-            if offsets[b] - offsets[a] > SEGMENT_BYTES:
-                ids = [own.encode(p.split())[0] for p in portions(data[offsets[a] : offsets[b]].tobytes())]
-                values, ends = np.concatenate(ids), [0, sum(map(len, ids))]
+            raw = data[offsets[a] : offsets[b]].tobytes()
+            if len(raw) > SEGMENT_BYTES:
+                ids = [own.encode(own.words(p))[0] for p in portions(raw.decode("utf-8", "replace"))]
+                values, ends = np.concatenate(ids), np.array([0, sum(map(len, ids))])
             else:
-                raw = data[offsets[a] : offsets[b]].tobytes()
-                rows = [raw[s:e].split() for s, e in zip(offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a])]
-                values, counts = own.encode([c for row in rows for c in row])
+                rows = [own.words(raw[s:e].decode("utf-8", "replace")) for s, e in zip(offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a])]
+                values, counts = own.encode([w for row in rows for w in row])
                 ends = np.append(0, np.cumsum(counts))[np.append(0, np.cumsum([len(row) for row in rows]))]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names)
+            out = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))]
+            if len(names) > 2:
+                out.append(pa.array([_text(values[s:e], tokens(path)) for s, e in zip(ends, ends[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names)
+
 
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """The id of each row, and the token ids of its whole text by the tokenizer file at ``path``.
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """The id of each row, and the token ids of its whole text by the tokenizer file at ``path``."""
+    With ``decoded_col``, also the text that these ids decode to, made by the same workers.
+    """
     rows = df.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _encoded(batches, path, [id_col, ids_col]), f"`{id_col}` {kind}, `{ids_col}` array<int>")
-
-
-def _text(ids: np.ndarray, known: dict[int, str], step: int = 1 << 17) -> str:
-    return " ".join(x for a in range(0, len(ids), step) if (x := " ".join(filter(None, map(known.get, ids[a : a + step].tolist())))))
+    names = [id_col, ids_col] + ([decoded_col] if decoded_col else [])
+    schema = f"`{id_col}` {kind}, `{ids_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else "")
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, names), schema)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, names: list[str], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:

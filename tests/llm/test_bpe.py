@@ -61,9 +61,15 @@ def test_cuts_and_small_cache(plain):
     small = Encoder(PATH, most=100)
     assert any(len(small.fragments(w)) > 1 for w in ("xqzjkv", "zqzqzq"))
     for t in texts()[4:200]:
-        chunks = (t or "").encode().split()
-        assert small.encode(chunks)[0].tolist() == plain.encode(t or "", add_special_tokens=False).ids
-    assert b"".join(portions(b"ab cd ef" * 9, 5)) == b"ab cd ef" * 9
+        assert small.encode(small.words(t or ""))[0].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    assert "".join(portions("ab cd ef" * 9, 5)) == "ab cd ef" * 9
+
+
+def test_every_character_of_the_latin_rule(plain):
+    own = Encoder(PATH)
+    for i in range(0x180):
+        for t in (chr(i), f"a{chr(i)}b", f"'{chr(i)}s", f"1{chr(i)}{chr(i)}!"):
+            assert own.encode(own.words(t))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_ids_that_are_none(spark):

@@ -61,9 +61,22 @@ SELECT doc_id AS pos, CASE WHEN doc_id % 10 = 3 THEN NULL ELSE CAST(doc_id % 700
   substring(text, 1, 24) AS title, doc_id % 3 = 0 AS has_full
 FROM documents
 """
+SITE_NODES = """
+SELECT page_id AS node_id, CASE WHEN page_id > 0 THEN CAST(floor((page_id - 1) / 12) AS BIGINT) END AS parent_id,
+  CASE page_id % 7 WHEN 0 THEN 'section' WHEN 1 THEN 'document' WHEN 2 THEN 'google_drive' WHEN 3 THEN 'link' WHEN 4 THEN 'document' WHEN 5 THEN 'external_redirect' ELSE 'image' END AS kind,
+  CASE WHEN page_id % 11 = 7 THEN 'Perfil' ELSE substring(html, 60 + CAST(page_id % 5 AS INT), 12) END AS title,
+  CASE WHEN page_id % 4 <> 2 THEN 'https://www.site.example/v/' || CAST(page_id * 5 % 17 AS VARCHAR(20)) END AS url,
+  CASE WHEN page_id % 3 = 1 THEN 'https://site.example/r/' || CAST(page_id * 7 % 13 AS VARCHAR(20)) WHEN page_id % 9 = 2 THEN 'http://www.site.example/r/1' END AS canonical_url,
+  CASE WHEN page_id % 4 = 1 THEN 'http://site.example/r/' || CAST(page_id * 11 % 23 AS VARCHAR(20)) END AS redirect_url,
+  CASE WHEN page_id % 5 = 2 THEN 'https://site.example/v/' || CAST(page_id * 3 % 29 AS VARCHAR(20)) ELSE '' END AS download_url,
+  CASE WHEN page_id % 6 = 3 THEN 'https://site.example/v/' || CAST(page_id % 17 AS VARCHAR(20)) END AS preview_url,
+  CASE WHEN page_id % 2 = 0 THEN url END AS description, CASE WHEN page_id % 3 = 0 THEN 'text/html' END AS mime_type, CAST(NULL AS VARCHAR(20)) AS subtitle,
+  page_id % 12 AS n_meta, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'new' ELSE 'new,old' END AS badge_list
+FROM pages
+"""
 PAGES = "SELECT page_id, url, html FROM pages"
-TEXTS = {"audit": AUDIT, "messages": MESSAGES, "tasks": TASKS, "resolutions": RESOLUTIONS, "vacancies": VACANCIES, "crawl_pages": PAGES}
-BASES = {"audit": ("events",), "messages": ("conversations",), "tasks": ("orders",), "resolutions": ("events", "nation"), "vacancies": ("documents",), "crawl_pages": ("pages",)}
+TEXTS = {"audit": AUDIT, "messages": MESSAGES, "tasks": TASKS, "resolutions": RESOLUTIONS, "vacancies": VACANCIES, "crawl_pages": PAGES, "site_nodes": SITE_NODES}
+BASES = {"audit": ("events",), "messages": ("conversations",), "tasks": ("orders",), "resolutions": ("events", "nation"), "vacancies": ("documents",), "crawl_pages": ("pages",), "site_nodes": ("pages",)}
 
 
 def _text(name: str, engine: str) -> str:

@@ -90,8 +90,10 @@ def greedy(df: DataFrame, group: str, position: str, tokens: str, share: float,
 
     Positions are distinct, and so are a row's tokens. Of rows of one token set only the first can stay.
     Of two alike sets, one of the rarest tokens of the smaller is in the larger; a join by these finds the
-    pairs. The order is settled in rounds: a row without an earlier alike row stays, those like it go.
+    pairs, and the order of each set of connected pairs is settled at once.
     """
+    from tessera.operators.greedy import settled  # it writes tables with this module
+
     rows = written(df.select(F.struct(F.col(group).alias("of")).alias("g"), F.col(position).alias("p"), F.array_sort(tokens).alias("t")), "rows")
     big = rows.where(F.size("t") >= least)
     sets = written(big.groupBy("g", "t").agg(F.min("p").alias("p")).withColumn("n", F.size("t")), "sets")
@@ -108,12 +110,8 @@ def greedy(df: DataFrame, group: str, position: str, tokens: str, share: float,
     pairs = met.select("g", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     side = lambda at, t: sets.select("g", F.col("p").alias(at), F.col("t").alias(t))
     edges = written(pairs.join(side("a", "x"), ["g", "a"]).join(side("b", "y"), ["g", "b"]).where(overlap(F.col("x"), F.col("y")) >= share).select("g", "a", "b"), "edges")
-    while not edges.isEmpty():
-        stay = edges.select("g", "a").distinct().join(edges.select("g", F.col("b").alias("a")).distinct(), ["g", "a"], "left_anti")
-        like = written(edges.join(stay, ["g", "a"], "left_semi").select("g", F.col("b").alias("p")).distinct(), "like")
-        gone = gone.unionByName(like)
-        edges = written(edges.join(like.withColumnRenamed("p", "b"), ["g", "b"], "left_anti").join(like.withColumnRenamed("p", "a"), ["g", "a"], "left_anti"), "edges")
-    return rows.select("g", "p").join(gone, ["g", "p"], "left_anti").select(F.col("g.of").alias(group), F.col("p").alias(position))
+    gone = gone.select("p").unionByName(settled(edges))
+    return rows.select("g", "p").join(gone, "p", "left_anti").select(F.col("g.of").alias(group), F.col("p").alias(position))
 
 
 def anchors(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

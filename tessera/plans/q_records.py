@@ -75,7 +75,7 @@ def w10(spark, sf_dir):
 
 
 
-@query("D03_D06_greedy")
+@query("D03_greedy")
 def d03(spark, sf_dir):
     v = vacancies(spark, sf_dir).withColumn("tokens", F.array_distinct(F.filter(F.split(X.fingerprint(F.col("description"), 900), " "), lambda t: F.length(t) >= 4)))
     v = v.withColumn("block", F.struct("company", "location"))

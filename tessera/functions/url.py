@@ -68,3 +68,13 @@ def dated(url: Column) -> Column:
 def last_number(url: Column) -> Column:
     """The number that ends the path, or null."""
     return F.nullif(F.regexp_extract(path(url), r"([0-9]+)/?$", 1), F.lit(""))
+
+
+def plain_host(url: Column) -> Column:
+    """As ``bare_host``, also of URLs with characters that no URL may hold."""
+    return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), r"^www\.", "")
+
+
+def plain_path(url: Column) -> Column:
+    """As ``path``, also of URLs with characters that no URL may hold."""
+    return F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)

@@ -107,7 +107,7 @@ def test_cards(spark):
     assert got == {
         "11": ("Data Engineer", "Acme", "Here", "card,job_href,list_item,urn", False),
         "12": ("Analyst", "Beta", None, "card,job_href,list_item", True),
-        "13": ("", None, None, "card,list_item,urn", True),
+        "13": ("", None, None, "list_item,urn", True),
     }
     c = {r.page: r for r in counts.collect()}
     assert (c[1].n_items, c[1].n_excluded, c[1].n_job, c[1].n_li, c[1].n_job_href, c[1].n_urn) == (4, 1, 3, 4, 4, 2)

@@ -33,10 +33,6 @@ def any_in(text: Column, terms: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(text, t))
 
 
-def slug(text: Column) -> Column:
-    return F.trim(F.regexp_replace(X.folded(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
-
-
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
 
@@ -92,7 +88,7 @@ def navigation(nodes: DataFrame, base: DataFrame) -> DataFrame:
     article = (F.size(parts) >= 2) & (F.length(F.try_element_at(parts, F.lit(-1))) >= 5)
     links = links.where(~article & ~U.dated(F.col("url")))
     links = links.where(~any_in(F.concat(X.folded(F.col("text")), F.lit(" "), X.folded(F.col("path"))), BANNED))
-    links = links.withColumn("__t", slug(F.col("text"))).withColumn("__p", slug(F.col("path")))
+    links = links.withColumn("__t", X.slug(F.col("text"))).withColumn("__p", X.slug(F.col("path")))
     links = written(first_of(links, ["page", "__t", "__p"], ["node"]).select("page", "node", "above", "url", "text"), "links")
     scored = links.join(areas(nodes, links), ["page", "node"], "left")
     return scored.select("page", "node", "url", F.col("text").alias("title"), area_score(F.coalesce("area", F.lit("")), F.col("text")).alias("area_score"))
@@ -148,9 +144,5 @@ def cards(nodes: DataFrame, pages: DataFrame, identity: str, urn: str, fields: d
 
 
 def once(title: Column) -> Column:
-    """A title, spaces collapsed, without its second half where both halves are the same words."""
-    words = F.split(F.regexp_replace(X.collapsed(title), r"(?i) with verification$", ""), " ")
-    half = F.greatest((F.size(words) / 2).cast("int"), F.lit(1))
-    lower = F.transform(words, F.lower)
-    twice = (F.size(words) % 2 == 0) & (F.slice(lower, 1, half) == F.slice(lower, half + 1, half))
-    return F.when(twice, F.array_join(F.slice(words, 1, half), " ")).otherwise(F.array_join(words, " "))
+    """A title without the mark of verification, once where it is written twice."""
+    return X.halved(F.regexp_replace(X.collapsed(title), r"(?i) with verification$", ""))

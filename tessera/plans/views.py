@@ -74,9 +74,15 @@ SELECT page_id AS node_id, CASE WHEN page_id > 0 THEN CAST(floor((page_id - 1) /
   page_id % 12 AS n_meta, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'new' ELSE 'new,old' END AS badge_list
 FROM pages
 """
+NAME_QUERIES = """
+SELECT p_partkey AS query_id, p_brand AS g,
+  CASE p_partkey % 7 WHEN 0 THEN upper(p_name) WHEN 1 THEN '' WHEN 2 THEN CAST(p_partkey % 120 AS VARCHAR(20)) WHEN 3 THEN substring(p_name, 2, 6)
+    WHEN 4 THEN '  ' || split_part(p_name, ' ', 2) || '  ' || split_part(p_name, ' ', 1) || ' ' WHEN 5 THEN substring(p_name, 1, 3) || ' ' || substring(split_part(p_name, ' ', 2), 2, 3) ELSE p_name || ' x' END AS query
+FROM part
+"""
 PAGES = "SELECT page_id, url, html FROM pages"
-TEXTS = {"audit": AUDIT, "messages": MESSAGES, "tasks": TASKS, "resolutions": RESOLUTIONS, "vacancies": VACANCIES, "crawl_pages": PAGES, "site_nodes": SITE_NODES}
-BASES = {"audit": ("events",), "messages": ("conversations",), "tasks": ("orders",), "resolutions": ("events", "nation"), "vacancies": ("documents",), "crawl_pages": ("pages",), "site_nodes": ("pages",)}
+TEXTS = {"audit": AUDIT, "messages": MESSAGES, "tasks": TASKS, "resolutions": RESOLUTIONS, "vacancies": VACANCIES, "crawl_pages": PAGES, "site_nodes": SITE_NODES, "name_queries": NAME_QUERIES}
+BASES = {"audit": ("events",), "messages": ("conversations",), "tasks": ("orders",), "resolutions": ("events", "nation"), "vacancies": ("documents",), "crawl_pages": ("pages",), "site_nodes": ("pages",), "name_queries": ("part",)}
 
 
 def _text(name: str, engine: str) -> str:

@@ -6,27 +6,26 @@ words; ``merged_bullets`` folds the bullets of one text, where a longer bullet t
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graphs import components
 from tessera.operators.records import written
-from tessera.operators.skew import lookup
+from tessera.operators.skew import folded_in_order, lookup
 
 #: Words of titles that tell nothing; words of one kind of event, whose bullets need fewer shared words.
 STOP = ("de", "la", "el", "en", "a", "los", "las", "del", "que", "un", "una", "por", "con", "se", "ha", "al", "es", "su", "y", "e", "o", "the", "of", "in", "to", "and", "for", "on", "at", "by", "with", "from")
 DISASTER = ("terremoto", "sismo", "maremoto", "tsunami", "earthquake", "seismic")
 
 
-def _dropped(pairs: pd.DataFrame) -> pd.DataFrame:
-    gone: set = set()
-    for a, b in pairs.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
-        if a not in gone:
-            gone.add(b)
-    return pd.DataFrame({"p": pd.Series(sorted(gone), dtype="int64")})
+def _dropped(pairs: Iterator[dict]) -> Iterator[int]:
+    gone: set[int] = set()
+    for pair in pairs:
+        if pair["a"] not in gone:
+            gone.add(pair["b"])
+    return iter(gone)
 
 
 def settled(pairs: DataFrame, most: int = 100_000) -> DataFrame:
@@ -40,8 +39,7 @@ def settled(pairs: DataFrame, most: int = 100_000) -> DataFrame:
     held = lookup(pairs, labels.withColumnRenamed("node", "a"), "a", "b")
     sizes = held.groupBy("label").agg(F.count("*").alias("size"))
     held = written(lookup(held, sizes, "label", "b"), "held")
-    gone = held.where(F.col("size") <= most).groupBy("label").applyInPandas(_dropped, "p long")
-    gone = [written(gone, "gone")]
+    gone = [written(folded_in_order(held.where(F.col("size") <= most), "label", ["a", "b"], _dropped, "p"), "gone")]
     left = written(held.where(F.col("size") > most).select("a", "b"), "left")
     while not left.isEmpty():
         first = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -45,26 +45,23 @@ def merged(df: DataFrame, key: str, position: str, filled: list[str], gathered:
     return df.groupBy(key).agg(*(known(c) for c in filled), F.array_join(F.sort_array(F.collect_set(gathered)), ",").alias(gathered))
 
 
-def interleaved(df: DataFrame, group: str, position: str) -> DataFrame:
-    """``turn``: the row's place when groups take turns, each in its own order, groups by name.
+def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``name``: each row's place, from 1, in the order of the columns ``order``, which tell all rows apart.
 
-    The place is counted from the sizes of the groups, so no task sorts all rows.
+    Rows are dealt by ranges of that order and numbered in each; the offsets are sums of one number a task.
     """
-    own = Window.partitionBy(group).orderBy(position)
-    rows = df.withColumn("__n", F.row_number().over(own))
-    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    return rows.join(F.broadcast(_before(sizes, group)), group).withColumn("turn", _place("__n")).drop("__n", "__sizes", "__earlier")
-
-
-def _before(sizes: DataFrame, group: str) -> DataFrame:
-    """For each group all groups' sizes, and those of the groups before it; groups are few."""
-    every = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), "size"))).alias("s"))
-    return sizes.select(group).join(every).select(group, F.col("s.size").alias("__sizes"), F.transform(F.filter("s", lambda x: x["g"] < F.col(group)), lambda x: x["size"]).alias("__earlier"))
+    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    dealt = written(dealt, "placed")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__in", inside).join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before")
 
 
-def _place(n: str) -> Column:
-    full = F.aggregate("__sizes", F.lit(0).cast("long"), lambda a, s: a + F.least(s, F.col(n) - 1))
-    return full + F.size(F.filter("__earlier", lambda s: s >= F.col(n))) + 1
+def interleaved(df: DataFrame, group: str, position: str) -> DataFrame:
+    """``turn``: the row's place when groups take turns, each in its own order, groups by name; (position, group) tells rows apart."""
+    own = Window.partitionBy(group).orderBy(position)
+    return placed(df.withColumn("__n", F.row_number().over(own)), ["__n", group], "turn").drop("__n")
 
 
 def source_order(df: DataFrame, source: str, position: str) -> DataFrame:
@@ -77,10 +74,20 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset on one machine, a temporary folder, which no cluster could share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in ``spark.checkpoint.dir``, or in a temporary folder where it is unset, read again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` as Parquet in the shared folder, read again: later plans start from these files."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -141,11 +148,13 @@ def tree(nodes: DataFrame, id_col: str, parent_col: str, depth: int) -> DataFram
 
 
 def attach_earlier(nodes: DataFrame, key: Column, parent_key: Column, order: str, id_col: str) -> DataFrame:
-    """For each node the latest earlier node of its parent's key, or null: it hangs on the root."""
-    child = nodes.select(F.col(id_col).alias("child"), F.col(order).alias("at"), parent_key.alias("k"))
-    parent = nodes.select(F.col(id_col).alias("parent"), F.col(order).alias("before"), key.alias("k"))
-    found = child.join(parent, "k").where("before < at").groupBy("child").agg(F.max_by("parent", "before").alias("parent"))
-    return child.select("child").join(found, "child", "left")
+    """For each node the latest earlier node of its parent's key, or null: it hangs on the root. ``order`` holds whole numbers."""
+    none = F.lit(None).cast(nodes.schema[id_col].dataType)
+    child = nodes.select(F.col(id_col).alias("child"), none.alias("parent"), F.col(order).alias("at"), parent_key.alias("k"))
+    parent = nodes.select(none.alias("child"), F.col(id_col).alias("parent"), F.col(order).alias("at"), key.alias("k"))
+    earlier = Window.partitionBy("k").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    found = child.unionByName(parent).withColumn("parent", F.last("parent", ignorenulls=True).over(earlier))
+    return found.where("child is not null").select("child", F.when(F.col("k").isNotNull(), F.col("parent")).alias("parent"))
 
 
 def covering_prefix(df: DataFrame, group: str, rank: str, needed: dict[str, float]) -> DataFrame:

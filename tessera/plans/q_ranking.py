@@ -152,11 +152,11 @@ def k13(spark, sf_dir):
 
 
 @query("J17_first_link", r"""SELECT page_id, arg_min(href, place) AS href FROM (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) AS place FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages))
-  WHERE contains(lower(href), '/') AND contains(lower(href), '1') GROUP BY 1""")
+  WHERE contains(lower(href), '/') AND contains(lower(href), 'th') GROUP BY 1""")
 def j17(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     links = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), 1)).alias("place", "href"))
-    return K.first_link(links, "page_id", "place", F.lower("href"), "/", "1")
+    return K.first_link(links, "page_id", "place", F.lower("href"), "/", "th")
 
 
 @query("F21_url_reasons", r"""SELECT page_id, CASE WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' WHEN NOT regexp_matches(url, '^https?://[^/?#]+\.[a-z]+') THEN 'host' WHEN regexp_matches(url, '[?&]utm_') THEN 'query_parameter' END AS reason FROM pages""")

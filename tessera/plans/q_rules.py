@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -12,6 +11,7 @@ from tessera.functions import url as U
 from tessera.operators import records as R
 from tessera.operators import rules as L
 from tessera.plans.q_records import _HOST, _PATH, _QUERY, docs, pages, vacancies
+from tessera.operators.records import shared_folder
 from tessera.plans.registry import query
 from tessera.plans.views import view, with_views
 from tessera.sources import readers
@@ -361,8 +361,7 @@ def lines(spark, sf_dir):
     a = view(spark, sf_dir, "audit").withColumn("event_type", F.when(F.col("k") % 4 == 0, "country_news_resolution").otherwise("turn"))
     row = F.to_json(F.struct(F.col("event_type"), F.col("request_id").cast("string").alias("request_id"), "outcome", "duration_ms", "category", "strategy", "quality_target", "ts_ms"))
     odd = F.when(F.col("k") % 10 == 0, F.lit("")).when(F.col("k") % 10 == 1, F.lit('{"request_id": ')).when(F.col("k") % 10 == 2, F.lit('[{"request_id": "0"}]')).otherwise(F.lit("17"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{folder.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     a.select(F.explode(F.array(row, odd)).alias("value")).write.text(path)
     return path
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tessera.plans.registry import QUERIES, SQL
 
-MODULES = ("q_telemetry", "q_sessions", "q_records", "q_ranking", "q_rules", "q_listings", "q_choices", "q_hierarchy", "q_greedy", "q_pages", "q_naming", "q_sections", "q_state")
+MODULES = ("q_telemetry", "q_sessions", "q_records", "q_ranking", "q_rules", "q_listings", "q_choices", "q_hierarchy", "q_greedy", "q_pages", "q_naming", "q_sections", "q_shapes", "q_state")
 
 
 def _load() -> None:

@@ -80,9 +80,22 @@ SELECT p_partkey AS query_id, p_brand AS g,
     WHEN 4 THEN '  ' || split_part(p_name, ' ', 2) || '  ' || split_part(p_name, ' ', 1) || ' ' WHEN 5 THEN substring(p_name, 1, 3) || ' ' || substring(split_part(p_name, ' ', 2), 2, 3) ELSE p_name || ' x' END AS query
 FROM part
 """
+BOXES = """
+SELECT l_orderkey AS page, l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS box, l_suppkey % 4 * 25 AS x, l_partkey % 110 AS y,
+  CASE WHEN l_linenumber % 7 = 5 THEN CAST(90 AS BIGINT) ELSE 130 + CAST(l_quantity AS BIGINT) * 4 END AS width, 40 + l_linenumber * 12 AS height, l_partkey % 9 AS identity
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey) l
+"""
+ADHOC = """
+SELECT o_orderkey AS input, CASE o_orderkey % 6
+  WHEN 0 THEN '[' || CAST(o_custkey AS VARCHAR(20)) || ', ' || CAST(o_custkey % 7 AS VARCHAR(20)) || ', -2.5]'
+  WHEN 1 THEN '[' || chr(123) || '"a": ' || CAST(o_custkey AS VARCHAR(20)) || ', "b": "x' || CAST(o_custkey % 3 AS VARCHAR(20)) || '"' || chr(125) || ', ' || chr(123) || '"a": 7, "b": "y"' || chr(125) || ', ' || chr(123) || '"a": null, "c": 1' || chr(125) || ', 5]'
+  WHEN 2 THEN 'k,v' || chr(10) || CAST(o_custkey AS VARCHAR(20)) || ',' || o_orderstatus || chr(10) || chr(10) || '5,"q, ""r"" x"' || chr(10)
+  WHEN 3 THEN o_orderpriority WHEN 4 THEN '[1, ' || CAST(o_custkey AS VARCHAR(20)) ELSE '[' || CAST(o_custkey AS VARCHAR(20)) || ']' END AS data
+FROM orders
+"""
 PAGES = "SELECT page_id, url, html FROM pages"
-TEXTS = {"audit": AUDIT, "messages": MESSAGES, "tasks": TASKS, "resolutions": RESOLUTIONS, "vacancies": VACANCIES, "crawl_pages": PAGES, "site_nodes": SITE_NODES, "name_queries": NAME_QUERIES}
-BASES = {"audit": ("events",), "messages": ("conversations",), "tasks": ("orders",), "resolutions": ("events", "nation"), "vacancies": ("documents",), "crawl_pages": ("pages",), "site_nodes": ("pages",), "name_queries": ("part",)}
+TEXTS = {"audit": AUDIT, "messages": MESSAGES, "tasks": TASKS, "resolutions": RESOLUTIONS, "vacancies": VACANCIES, "crawl_pages": PAGES, "site_nodes": SITE_NODES, "name_queries": NAME_QUERIES, "boxes": BOXES, "adhoc": ADHOC}
+BASES = {"audit": ("events",), "messages": ("conversations",), "tasks": ("orders",), "resolutions": ("events", "nation"), "vacancies": ("documents",), "crawl_pages": ("pages",), "site_nodes": ("pages",), "name_queries": ("part",), "boxes": ("lineitem",), "adhoc": ("orders",)}
 
 
 def _text(name: str, engine: str) -> str:

@@ -31,8 +31,7 @@ def reports(n, vocabulary):
     return [*rows, ("big", 90_000, text(5), text(30_000)), ("big", 90_001, None, None), ("big", 90_002, None, None)]
 
 
-@pytest.mark.parametrize(("batch", "share"), [(64, 0.1), (5, 0.0), (3, 1.0)])
-@pytest.mark.parametrize("vocabulary", [22, 90])
+@pytest.mark.parametrize(("vocabulary", "batch", "share"), [(22, 64, 0.1), (90, 5, 0.0), (22, 3, 1.0), (90, 3, 1.0)])
 def test_events(spark, vocabulary, batch, share):
     rows = reports(260, vocabulary)
     df = spark.createDataFrame(rows, "q string, pos long, title string, snippet string").withColumn("p", F.lit(1)).withColumn("g", F.lit("x"))

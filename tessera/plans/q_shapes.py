@@ -12,6 +12,7 @@ from tessera.operators.records import shared_folder
 from tessera.plans.registry import query
 from tessera.plans.views import view, with_views
 from tessera.sources import history as H
+from tessera.sources import readers
 from tessera.streaming.recompute import latest, recomputed
 
 _B = with_views("boxes").replace("WITH ", "WITH RECURSIVE ", 1)
@@ -77,3 +78,27 @@ def st05(spark, sf_dir):
     summary = lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"), total.alias("total"), F.max("event_id").alias("last_id"))
     recomputed(stream, summary, f"{path}/board").awaitTermination()
     return latest(spark, f"{path}/board")
+
+
+@query("S18_job_postings", "SELECT page_id, page_id AS posting FROM pages WHERE page_id % 5 < 3")
+def s18(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    script = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    node = lambda kind: F.concat(F.lit('{"@type": ' + kind + ', "id": '), F.col("page_id").cast("string"), F.lit("}"))
+    other, kind = F.lit('{"@type": "Organization"}'), F.col("page_id") % 5
+    added = (
+        F.when(kind == 0, script(node('"JobPosting"'))).when(kind == 1, script(F.concat(F.lit("[["), other, F.lit(', {"@graph": ['), node('["Thing", "jobposting"]'), F.lit("]}]]"))))
+        .when(kind == 2, F.concat(script(F.lit('{"@type": ')), script(F.concat(F.lit('{"@graph": [['), node('"JOBPOSTING"'), F.lit('], {"@type": "JobPosting", "id": -1}]}'))))).when(kind == 3, script(other)).otherwise(F.lit(""))
+    )
+    found = readers.job_postings(p.select("page_id", F.concat(F.coalesce("html", F.lit("")), added).alias("html")))
+    return found.select("page_id", F.get_json_object("posting", "$.id").cast("long").alias("posting"))
+
+
+@query("ST11_runtime_policies", """SELECT o_orderkey AS file, CASE o_orderkey % 4 WHEN 0 THEN '3' ELSE 'legacy' END AS version, o_orderstatus AS category, CAST(p AS INT) AS place, CASE p WHEN 0 THEN 'api_price' ELSE 'free' END AS strategy,
+CASE WHEN p = 1 THEN 1.0 WHEN o_orderkey % 4 = 0 THEN round(o_custkey % 10 / 10 * exp(-(o_custkey % 14) * 86400 / 604800.0 :: DOUBLE), 3) ELSE o_custkey % 10 / 10 END AS confidence FROM orders, range(2) r(p) WHERE o_orderkey % 4 < 2""")
+def st11(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    own = F.concat(F.lit('{"'), F.col("o_orderstatus"), F.lit('": {"promoted": [{"strategy": "api_price", "confidence": 0.'), (F.col("o_custkey") % 10).cast("string"), F.lit('}, "free"]}, "empty": {}}'))
+    at = F.lit(1_000_000_000) - F.col("o_custkey") % 14 * 86400
+    text = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('{"version": 3, "generated_ts": '), at.cast("string"), F.lit(', "categories": '), own, F.lit("}"))).when(F.col("o_orderkey") % 4 == 1, own).when(F.col("o_orderkey") % 4 == 2, F.lit("[1, 2]")).otherwise(F.lit("broken {"))
+    return readers.runtime_policies(o.select(F.col("o_orderkey").alias("file"), text.alias("text")), "file", "text", F.lit(1_000_000_000))

@@ -4,6 +4,7 @@ import csv
 import io
 import json
 import random
+import re
 import shutil
 import statistics
 from decimal import ROUND_HALF_UP, Decimal
@@ -15,6 +16,7 @@ from tessera.operators import records as R
 from tessera.operators.adhoc import profiles
 from tessera.operators.layout import CELL, smallest_rows
 from tessera.sources import history as H
+from tessera.sources import readers
 from tessera.streaming.recompute import latest, recomputed
 
 r = random.Random(20)
@@ -192,3 +194,48 @@ def test_no_private_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         R.shared_folder(Session())
+
+
+def plain_nodes(value):
+    """Objects of a parsed text in its order: lists, and what stands in an object's graph, at any depth."""
+    if isinstance(value, list):
+        return [n for item in value for n in plain_nodes(item)]
+    return [value, *plain_nodes(g if isinstance(g := value.get("@graph"), list) else [])] if isinstance(value, dict) else []
+
+
+def test_job_postings(spark):
+    job = lambda i: {"@type": r.choice(["JobPosting", ["A", "jobposting"], [["JOBPOSTING"]]]), "i": i}
+    other = lambda i: {"@type": r.choice(["Thing", None, 5, {"x": "JobPosting"}, []]), "i": i, "jobs": [{"@type": "JobPosting"}]}
+    deep = {"@type": "JobPosting", "i": 99}
+    for _ in range(12):
+        deep = [{"@graph": [deep, other(0)]}]
+    texts = ["{}", "[]", "5", "null", "{broken", json.dumps(deep), json.dumps({"@graph": {"@type": "JobPosting"}})]
+    for i in range(60):
+        nest = [r.choice([job, other])(j) for j in range(r.randrange(4))]
+        texts.append(json.dumps(r.choice([nest, {"@graph": [nest, job(7)]}, [[nest], other(8)], {"@type": "Thing", "@graph": nest}])))
+    pages = [(i, "".join(f"<script type='application/ld+json' id=x>{t}</script><p>" for t in r.sample(texts, r.randrange(4))) + '<script type="text/x">{"@type": "JobPosting"}</script>') for i in range(80)] + [(900, None)]
+    pages.append((901, f"<SCRIPT TYPE=application/ld+json>{texts[5]}</SCRIPT>"))
+
+    def strings(t):
+        return [s for x in t for s in strings(x)] if isinstance(t, list) else [t.lower()] if isinstance(t, str) else []
+
+    want = {}
+    for i, html in pages:
+        for raw in re.findall("(?is)<script[^>]*ld.json[^>]*>(.*?)</script>", html or ""):
+            try:
+                found = [n for n in plain_nodes(json.loads(raw)) if "jobposting" in strings(n.get("@type"))]
+            except ValueError:
+                continue
+            if found:
+                want.setdefault(i, found[0]["i"])
+    got = readers.job_postings(spark.createDataFrame(pages, "id int, html string"))
+    assert {x.id: json.loads(x.posting)["i"] for x in got.collect()} == want and want[901] == 99
+
+
+def test_runtime_policies(spark):
+    day, now = 86400, 1_000_000
+    texts = ["", "{broken", "[1]", "{}", json.dumps({"a": {"promoted": [{"strategy": "s", "confidence": 0.5}, "t", {"strategy": "u"}]}, "b": {}, "c": 5}), json.dumps({"version": "v2", "generated_ts": now - 7 * day, "categories": {"a": {"promoted": [{"strategy": "s", "confidence": 0.5}, "t"]}}}),
+             json.dumps({"categories": {"a": {"promoted": [{"strategy": "s"}]}, "b": {"promoted": []}}})]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "f int, text string")
+    got = {tuple(x) for x in readers.runtime_policies(df, "f", "text", F.lit(now)).collect()}
+    assert got == {(4, "legacy", "a", 0, "s", 0.5), (4, "legacy", "a", 1, "t", 1.0), (4, "legacy", "a", 2, "u", 1.0), (5, "v2", "a", 0, "s", 0.184), (5, "v2", "a", 1, "t", 1.0), (6, "unknown", "a", 0, "s", 1.0)}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sections as S
 from tessera.functions import text as X
+from tessera.operators.probes import synthesized
 from tessera.plans.registry import query
 from tessera.plans.views import view, with_views
 
@@ -74,3 +75,29 @@ SELECT id, string_agg(c, chr(10) ORDER BY n) AS lines FROM firsts GROUP BY id"""
 def f33(spark, sf_dir):
     found = S.section_lines(F.col("content"))
     return messages(spark, sf_dir).select("id", F.array_join(found, "\n").alias("lines")).where("lines <> ''")
+
+
+_PROBES = f"""{_M}, p AS (SELECT session_id AS q, id, CASE WHEN ts % 4 = 1 THEN role || ' ' || CAST(ts AS VARCHAR) || ' - ' || CAST(session_id % 3 AS VARCHAR) || ' end' || chr(10) || content WHEN ts % 4 = 2 THEN role ELSE content END AS r,
+  CASE ts % 3 WHEN 0 THEN 'search_direct_' WHEN 1 THEN 'search_refined_' ELSE '' END || role AS s, CASE WHEN ts % 3 <> 2 THEN 'https://' || role || '.example/' || CAST(ts % 2 AS VARCHAR) END AS u FROM messages),
+w AS (SELECT *, len(list_filter(string_split_regex(r, '\\s+'), lambda x: x <> '')) AS n, trim(r, chr(10) || ' ') AS t FROM p),
+scored AS (SELECT *, CASE WHEN t = '' THEN -100 ELSE {' + '.join(f"CASE WHEN contains(lower(r), '{x}') THEN 1 ELSE 0 END" for x in ('respuesta', 'verificable', 'evidencia', 'fuente', 'dato', 'hecho', 'confirmado'))}
+  - CASE WHEN contains(lower(r), 'no pude') OR contains(lower(r), 'sin dato') OR contains(lower(r), 'no encontré') OR contains(lower(r), 'no logré') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(r, '\\b\\d+\\s*-\\s*\\d+\\b') THEN 8 ELSE 0 END
+  + CASE WHEN contains(lower(r), replace(s, '_', ' ')) THEN 2 ELSE 0 END + CASE WHEN s LIKE 'search_direct%' THEN 2 WHEN s LIKE 'search_refined%' THEN 1 ELSE 0 END - CASE WHEN n < 8 THEN 2 WHEN n > 80 THEN 1 ELSE 0 END END AS score FROM w),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, length(r) DESC, id) AS k FROM scored),
+lines AS (SELECT q, k, unnest(string_split(r, chr(10))) AS line, generate_subscripts(string_split(r, chr(10)), 1) AS i FROM ranked),
+firsts AS (SELECT q, l, min((k, i)) AS o FROM (SELECT q, k, i, regexp_replace(trim(line), '\\s+', ' ', 'g') AS l FROM lines) WHERE regexp_matches(l, '\\b.+?\\b\\d+\\s*-\\s*\\d+\\b.+') GROUP BY q, l),
+said AS (SELECT q, string_agg(chr(10) || '- ' || l, '' ORDER BY o) AS ls FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY o) AS j FROM firsts) WHERE j <= 4 GROUP BY q),
+links AS (SELECT q, string_agg('- [' || s || '](' || u || ')', chr(10) ORDER BY k) AS us FROM (SELECT q, u, min(k) AS k, arg_min(s, k) AS s FROM ranked WHERE u IS NOT NULL GROUP BY q, u) GROUP BY q)
+"""
+
+
+@query("J10_synthesized", f"""{_PROBES}, a AS (SELECT b.q, b.s, b.score, coalesce('Fuente más confiable: ' || b.s || ls, nullif(b.t, ''), 'No pude obtener resultados claros para esta consulta.') || coalesce(chr(10) || chr(10) || 'Sources:' || chr(10) || us, '') AS answer, c.t AS t2, c.s AS s2
+  FROM ranked b LEFT JOIN ranked c ON c.q = b.q AND c.k = 2 LEFT JOIN said ON said.q = b.q LEFT JOIN links ON links.q = b.q WHERE b.k = 1)
+SELECT q AS session_id, s AS best_source, score, md5(answer || CASE WHEN len(list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '')) <= 12 AND t2 <> '' AND t2 <> answer THEN chr(10) || chr(10) || 'Respaldo de ' || s2 || ': ' || t2 ELSE '' END) AS answer FROM a""")
+def j10(spark, sf_dir):
+    ts = F.col("ts")
+    shown = F.concat("role", F.lit(" "), ts.cast("string"), F.lit(" - "), (F.col("session_id") % 3).cast("string"), F.lit(" end\n"), "content")
+    m = messages(spark, sf_dir).withColumn("response", F.when(ts % 4 == 1, shown).when(ts % 4 == 2, F.col("role")).otherwise(F.col("content")))
+    m = m.withColumn("source", F.concat(F.when(ts % 3 == 0, "search_direct_").when(ts % 3 == 1, "search_refined_").otherwise(""), "role"))
+    m = m.withColumn("urls", F.when(ts % 3 != 2, F.array(F.concat(F.lit("https://"), "role", F.lit(".example/"), (ts % 2).cast("string")))))
+    return synthesized(m, "session_id", "id", "response", "source", "urls").select("session_id", "best_source", "score", F.md5("answer").alias("answer"))

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and the letters they fold to.
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def _plain(c: str) -> str:
+    """What is left of a character after compatibility decomposition without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+#: Characters of the scripts with letters that are, in lower case, one other character without their marks; then the marks themselves, which have no counterpart, so ``translate`` takes them out.
+_FOLDED = {c: p for c in map(chr, [*range(0xC0, 0x2000), *range(0xFF01, 0xFF5F)]) if c == c.lower() and len(p := _plain(c)) == 1 and p != c and p == p.lower() and p.isalnum()}
+MARKED = "".join(_FOLDED) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(_FOLDED.values())
 
 
 def blank_to_null(x: Column) -> Column:
@@ -19,7 +29,7 @@ def collapsed(x: Column) -> Column:
 
 
 def folded(x: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
+    """Lower case without marks, in all scripts with letters."""
     return F.translate(F.lower(x), MARKED, PLAIN)
 
 

@@ -35,3 +35,17 @@ def test_property_documents(spark):
     df = spark.createDataFrame([('q"\n', None, "u"), (None, "2020-01-01", None)], "a string, b string, c string")
     back = df.select(L.property_document(kinds).alias("d")).select(*L.flattened_properties(F.col("d"), kinds)).collect()
     assert sorted(map(tuple, back)) == [("", "2020-01-01", ""), ('q"\n', "", "u")]
+
+
+def test_letters_lose_their_marks(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as X
+
+    rows = ["Ελλάδα Ὀδύσσεια", "ЁЖИК й", "Đường phố Việt Nam", "ａｂｃ１", "ñandú Ñ", "Crème BRÛLÉE", "e\u0301\u0308", "Łódź", "ẞtraße", "日本語 한글", "", "it's"]
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFC", s.lower())) if not unicodedata.combining(c))
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", X.folded(F.col("t")).alias("f")).collect()
+    assert {r.i: unicodedata.normalize("NFKD", r.f) for r in got} == {i: plain(t) for i, t in enumerate(rows)}
+    assert len(X.MARKED) == len(set(X.MARKED)) and 500 < len(X.PLAIN) < len(X.MARKED)

@@ -19,12 +19,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import text_digest, written
+from tessera.llm.store import release, text_digest, written
 
 #: Kind, pattern, the group that is the secret, its least length. In the order of kinds.
 BASE = (
@@ -64,11 +63,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())]))
     for batch in batches:
         spans = []
-        for text in batch.column("text").to_pylist():
-            base = base_spans(text or "")
-            every = sorted(base + mixed_spans(text or "", base))
+        for value in batch.column("text"):  # one text at a time
+            text = value.as_py() or ""
+            base = base_spans(text)
+            every = sorted(base + mixed_spans(text, base))
             spans.append([{"kind": k, "start": s, "end": e, "hash": hashlib.sha256(text[s:e].encode()).digest()} for s, k, e in every])
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "id", "digest", "repository", "owner")), pa.array(spans, kind)], ["row_id", "id", "digest", "repository", "owner", "spans"])
+    release()
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3) -> DataFrame:
@@ -106,18 +107,14 @@ def _scanned(df: DataFrame, id_col: str, text_col: str, repository_col: str, own
     )
 
 
-def _redacted(text: pd.Series, starts: pd.Series, ends: pd.Series, mark: pd.Series) -> pd.Series:
-    out = []
-    for t, begin, end, m in zip(text, starts, ends, mark, strict=True):
-        if begin is not None and len(begin):
-            parts, at = [], 0
-            for s, e in zip(begin, end, strict=True):
-                if s >= at:
-                    parts += [t[at:s], m]
-                at = max(at, e)
-            t = "".join([*parts, t[at:]])
-        out.append(t)
-    return pd.Series(out, dtype=object)
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with ``mark`` in the place of its spans, which are ordered by start; of overlapping ones the first is marked."""
+    def step(state: Column, s: Column) -> Column:
+        more = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], more).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, start, step, lambda state: F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text))))
 
 
 def redacted(
@@ -132,5 +129,5 @@ def redacted(
     found = found.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), live.alias("__spans")).where(F.size("__spans") > 0)
     own = F.col(id_col).eqNullSafe(F.col("__id")) & (text_digest(text_col) == F.col("__digest"))
     rows = df.join(found.dropDuplicates(["__id", "__digest"]), own, "left")
-    text = F.pandas_udf(_redacted, "string")(F.col(text_col), F.col("__spans.start"), F.col("__spans.end"), F.lit(mark))
+    text = _without(F.col(text_col), F.col("__spans"), mark)
     return rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(text)).select(*df.columns)

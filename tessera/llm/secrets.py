@@ -5,8 +5,11 @@
 2. The candidates' hashes, not the candidates, are aggregated over the corpus by distinct
    repositories and distinct owners. Counting starts from distinct (hash, repository, owner) rows,
    so a secret that a third of all rows hold is combined before it moves.
-3. A candidate that at least ``example_owners`` owners hold is a widely copied example; one that fewer
-   hold is live-looking. Base spans always stay; a ``mixed`` span is added only if it is live-looking.
+3. A candidate is a widely copied example if at least ``example_owners`` owners hold it, or if at least
+   two owners hold it in ``example_repositories`` repositories or more. Anything else is live-looking:
+   what one owner has in all its repositories is still its own, and what two owners have in a few is
+   more likely shared than copied. Base spans always stay; a ``mixed`` span is added only if it is live-looking.
+4. Each span meets its hash's counts in up to 64 tasks, so one value in a third of all rows is no long task.
 
 Null text is empty text, a null repository or owner is one of its own. Repeated rows are scanned each,
 and counted once where they share a repository. An empty table gives an empty result. Only the named
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import release, text_digest, written
+from tessera.operators.skew import lookup
 
 #: Kind, pattern, the group that is the secret, its least length. In the order of kinds.
 BASE = (
@@ -72,16 +76,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3) -> DataFrame:
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3, example_repositories: int = 10) -> DataFrame:
     """One row for each input row: id and ``spans``, an array of kind, start, end, hash, repositories, owners, live.
 
     The spans are ordered by start, then kind. Documents stand for repositories and their sources for
     owners unless other columns are named.
     """
-    return _scanned(df, id_col, text_col, repository_col, owner_col, example_owners, F.lit(None).cast("binary")).select(F.col("id").alias(id_col), "spans")
+    return _scanned(df, id_col, text_col, repository_col, owner_col, example_owners, example_repositories, F.lit(None).cast("binary")).select(F.col("id").alias(id_col), "spans")
 
 
-def _scanned(df: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str, example_owners: int, digest: Column) -> DataFrame:
+def _scanned(df: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str, example_owners: int, example_repositories: int, digest: Column) -> DataFrame:
     """id, digest and spans of each input row."""
     rows = df.select(
         F.monotonically_increasing_id().alias("row_id"),
@@ -96,7 +100,8 @@ def _scanned(df: DataFrame, id_col: str, text_col: str, repository_col: str, own
     held = found.select(F.col("span.hash").alias("hash"), "repository", "owner").distinct()
     by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     frequency = by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
-    judged = found.withColumn("hash", F.col("span.hash")).join(frequency, "hash").withColumn("live", F.col("owners") < example_owners)
+    copied = (F.col("owners") >= example_owners) | (F.col("owners") > 1) & (F.col("repositories") >= example_repositories)
+    judged = lookup(found.withColumn("hash", F.col("span.hash")), frequency, "hash", "row_id").withColumn("live", ~copied)
     judged = judged.where((F.col("span.kind") < 3) | F.col("live"))
     item = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.end").alias("end"), "hash", "repositories", "owners", "live")
     lists = judged.groupBy("row_id").agg(F.sort_array(F.collect_list(item)).alias("spans"))
@@ -118,14 +123,14 @@ def _without(text: Column, spans: Column, mark: str) -> Column:
 
 
 def redacted(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", repository_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3, example_repositories: int = 10
 ) -> DataFrame:
     """The input with the live-looking spans of its texts replaced by ``mark``; overlapping spans become one.
 
     Widely copied examples stay. Spans go back to their texts by id and digest, so ids may be null or repeated.
     """
     live = F.filter("spans", lambda s: s["live"])
-    found = _scanned(df, id_col, text_col, repository_col, owner_col, example_owners, text_digest(text_col))
+    found = _scanned(df, id_col, text_col, repository_col, owner_col, example_owners, example_repositories, text_digest(text_col))
     found = found.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), live.alias("__spans")).where(F.size("__spans") > 0)
     own = F.col(id_col).eqNullSafe(F.col("__id")) & (text_digest(text_col) == F.col("__digest"))
     rows = df.join(found.dropDuplicates(["__id", "__digest"]), own, "left")

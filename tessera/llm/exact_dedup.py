@@ -8,7 +8,8 @@
 
 Steps 1 to 3 group by the whole content beside the digest, so a digest that two contents share never
 joins them. A row then finds its group by digest alone where the digest has one content, which steps
-1 to 3 have shown, and by digest and content where it has more.
+1 to 3 have shown, and by digest and content where it has more. The first, the usual way, is salted
+too: the rows of a digest meet its group in up to 64 tasks.
 
 Null text counts as empty. Among rows of one content the largest id stays; where ids tie, as in
 repeated rows, each of the tied rows is marked as kept, and ``deduplicated`` keeps one. A null id is smaller than any other; a group of null ids only keeps null.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import written
+from tessera.operators.skew import lookup
 
 SALTS = 64
 
@@ -45,10 +47,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     shared = by_digest.where("contents > 1").select("digest")
     rows = df.select(F.col(id_col).alias("id"), text.alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256)))
     if shared.isEmpty():
-        joined = rows.drop("content").join(by_digest.drop("contents"), "digest")
+        joined = lookup(rows.drop("content"), by_digest.drop("contents"), "digest", "id")
     else:
         exact = groups.join(shared, "digest", "left_semi")
-        joined = rows.drop("content").join(by_digest.where("contents = 1").drop("contents"), "digest").unionByName(
+        joined = lookup(rows.drop("content"), by_digest.where("contents = 1").drop("contents"), "digest", "id").unionByName(
             rows.join(shared, "digest", "left_semi").join(exact, ["digest", "content"]).drop("content")
         )
     return joined.select(

@@ -67,12 +67,12 @@ class ChunkEncoder:
     What is kept is bounded by ``most`` chunks, about 40 bytes each with their ids; beyond, it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, special_as_text: bool = False, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         size = self.tokenizer.get_vocab_size()
         self.width = np.zeros(size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -146,23 +146,24 @@ class ChunkEncoder:
         return ids, total[first]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special_as_text: bool) -> ChunkEncoder:
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(path, special_as_text)
+    return _ENCODERS[key]
 
 
-def _pieces(path: str, size: int, end_id: int):
+def _pieces(path: str, size: int, end_id: int, special_as_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ranks = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         try:
             for whole in batches:
                 for batch in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
                     data, offsets = utf8(batch.column("text"))
-                    ids, bounds = encoder(path).encode(data, offsets)
+                    ids, bounds = encoder(path, special_as_text).encode(data, offsets)
                     rows = []
                     for row, doc in enumerate(batch.column("doc_id").to_pylist()):
                         own = np.append(ids[bounds[row] : bounds[row + 1]], np.uint32(end_id)).astype("<u4")
@@ -174,7 +175,7 @@ def _pieces(path: str, size: int, end_id: int):
                     types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
         finally:
-            encoder(path).clear()  # workers live on, and other stages need their memory
+            encoder(path, special_as_text).clear()  # workers live on, and other stages need their memory
             release()
 
     return cut
@@ -207,11 +208,14 @@ def pack(histogram: dict[int, int], size: int = 2048) -> list[tuple[int, tuple[i
     return [(n, content) for r in sorted(room) for content, n in sorted(room[r].items())]
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, special_as_text: bool = False) -> DataFrame:
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    The name of a special token in a text is that token, as the tokenizer's file has it, or with ``special_as_text`` plain text.
+    """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(_pieces(tokenizer_path, size, end_id), PIECES), "pieces")
+    pieces = written(rows.mapInArrow(_pieces(tokenizer_path, size, end_id, special_as_text), PIECES), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

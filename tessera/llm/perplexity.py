@@ -15,7 +15,8 @@ of ``order`` bytes (six at most) are exact numbers; each text is read after ``or
    upper for text unlike the trusted, lower for text that repeats itself. Short texts spread more, so
    a language has thresholds of its own for each power of four of the texts' bytes. Where these, or a
    language, have fewer than ``LEAST_IN_BAND`` or ``LEAST_TRUSTED`` trusted documents, those of the
-   language, or of all, take their place. Quantiles are approximate within 1e-4 of the rank.
+   language, or of all, take their place. Quantiles are found by counts of logarithms in steps of
+   ``1 / BINS``, the largest value of a step for all in it, so they don't depend on the order in which tasks end, or on tasks run again.
 
 Null and empty texts have no perplexity and are not kept. A null language is the language ''. A null
 id is scored and never trusted. Repeated rows are scored, and counted, each. Without trusted text
@@ -32,7 +33,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import grouped, unpack
@@ -42,6 +43,7 @@ from tessera.llm.text import segments, utf8
 ORDER, MOST_ORDER = 4, 6
 LOW, HIGH, MARGIN = 0.001, 0.994, 0.03
 SLOT_BITS, FEW_LANGUAGES = 21, 10_000
+BINS = 10_000  # for each unit of a perplexity's logarithm, which is under 40
 LEAST_TRUSTED = LEAST_IN_BAND = 1000  # 1 / LOW: quantiles of fewer documents are their range
 STEP_BYTES = 1 << 18  # of text whose n-grams are held at a time
 
@@ -211,6 +213,18 @@ def probabilities(counts: DataFrame, wanted: DataFrame, most: int = ORDER) -> Da
     return out.select("gram", F.log(F.col("p") + F.col("rest") / 256).alias("lp"))
 
 
+def _edges(base: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
+    """keys, and ``name``: the two quantiles of the perplexities of each group of ``least`` rows or more.
+
+    A group's rows are counted by bin before they meet, so its window holds a row for each bin.
+    """
+    bins = base.groupBy(*keys, F.ceil(F.log("perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.max("perplexity").alias("top"))
+    own = Window.partitionBy(*keys)
+    bins = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
+    edge = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("top")))
+    return bins.where(F.col("all") >= least).groupBy(*keys).agg(F.array(edge(LOW), edge(HIGH)).alias(name))
+
+
 def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         for group, payload in zip(frame["group"], frame["payload"], strict=True):
@@ -247,11 +261,9 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     with small_batches(docs.sparkSession):
         scored = written(scored.select("group", "payload", "answer").mapInArrow(_score(order), "id long, lang string, digest binary, n_bytes long, perplexity double"), "scored")
     base = scored.where("perplexity is not null").join(good, "id", "left_semi")
-    edges = F.percentile_approx("perplexity", [LOW, HIGH], 10_000)
     band = F.floor(F.log2(F.greatest("n_bytes", F.lit(1))) / 2)
-    limits = base.groupBy("lang").agg(edges.alias("e"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED).drop("n")
-    narrow = base.groupBy("lang", band.alias("band")).agg(edges.alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_IN_BAND).drop("n")
-    whole = base.agg(edges.alias("every"))
+    limits, narrow = _edges(base, ["lang"], LEAST_TRUSTED, "e"), _edges(base.withColumn("band", band), ["lang", "band"], LEAST_IN_BAND, "own")
+    whole = _edges(base, [], 0, "every")
     out = scored.withColumn("band", band).join(F.broadcast(whole)).join(limited(limits, FEW_LANGUAGES), "lang", "left").join(limited(narrow, FEW_LANGUAGES), ["lang", "band"], "left")
     out = out.withColumn("e", F.coalesce("own", "e", "every"))
     out = out.withColumn("low", F.col("e")[0] * (1 - MARGIN)).withColumn("high", F.col("e")[1] * (1 + MARGIN))

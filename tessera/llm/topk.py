@@ -11,8 +11,9 @@ with its own list of partial scores, and a score is the sum over the parts.
    can reach the cutoff is resolved exactly, and a node sends its k best.
 
 Queries meet candidates in blocks: every query block is sent once to each of ``groups`` groups of
-candidate blocks, by an equi-join on the group. Neither side is broadcast, both can outgrow memory,
-and ties can't swell what is sent, since equal scores are ordered by id within a node too.
+candidate blocks, by an equi-join on the group; there are no more groups than candidate blocks. Neither
+side is broadcast, as a hint to merge says: Spark would judge a side by its size before it is copied to all
+groups. Both can outgrow memory, and ties can't swell what is sent, since equal scores are ordered by id within a node too.
 
 Components become floor(scale * x) as 32-bit floats, in which sums of products stay exact while a
 vector's squared length is below 2**24; beyond, 64-bit floats take their place. Vectors that are null
@@ -166,20 +167,20 @@ def _top(entries: DataFrame, k: int) -> DataFrame:
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """For each query its k best candidates: query_id, rank from 1, vec_id, score."""
-    groups = partitions(df.sparkSession)
     plain = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
     candidates = written(plain(df).mapInArrow(_block(CANDIDATE_ROWS, scale), BLOCK), "candidates")
     blocks = written(plain(queries).dropDuplicates(["id"]).mapInArrow(_block(QUERY_ROWS, scale), BLOCK), "queries")
+    groups = max(1, min(partitions(df.sparkSession), candidates.count()))
     held = candidates.select(F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), *(F.col(c).alias(f"c_{c}") for c in candidates.columns))
 
     def meet(sent: DataFrame) -> DataFrame:
         every = sent.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
-        return every.join(held, "group")
+        return every.join(held.hint("merge"), "group")
 
     lists = meet(blocks).mapInPandas(_lists(k), ENTRY)
     cutoffs = _top(lists, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("cutoff"))
     asked = blocks.select("block", "ids").mapInPandas(_explode_ids, "query_id long, block long").join(cutoffs, "query_id")
     by_block = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("known"))
-    known = blocks.join(by_block, "block", "left").mapInPandas(_with_cutoffs, f"{BLOCK}, cutoffs binary")
+    known = blocks.join(by_block.hint("merge"), "block", "left").mapInPandas(_with_cutoffs, f"{BLOCK}, cutoffs binary")
     found = _top(meet(written(known, "cutoffs")).mapInPandas(_collect(k), ENTRY), k)
     return found.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

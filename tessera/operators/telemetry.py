@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import score as S
 from tessera.functions.ordered import rolling, with_position
+from tessera.operators.records import written
 
 DAY_MS = 86_400_000
 
@@ -178,12 +179,31 @@ def top_uncurated(events: DataFrame, n: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("n"), "geography").limit(n)
 
 
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, median: the interpolated median of the known values, null without any; NaN counts as the largest.
+
+    Distinct values with their counts are dealt by ranges and summed up in each, after the sums of the ranges before, so no task holds all values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    dealt = written(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "counts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("own"))
+    offsets = sums.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"), F.sum("own").over(Window.partitionBy()).alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    rows = dealt.join(F.broadcast(offsets), "part").withColumn("upto", upto)
+    at = lambda rank: F.max(F.when((F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto")), F.col("x")))
+    middle = rows.agg(at(F.floor((F.col("total") + 1) / 2)).alias("a"), at(F.floor(F.col("total") / 2) + 1).alias("b"))
+    return middle.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * 0.5 + F.col("b") * 0.5).alias("median"))
+
+
 def profile(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column)
-    return df.agg(
-        F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.round(F.avg(x), 4).alias("mean"), F.round(F.percentile(x, 0.5), 4).alias("median"),
+    whole = df.agg(
+        F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.round(F.avg(x), 4).alias("mean"),
         F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 4).alias("std"), F.round(F.sum(x), 2).alias("total"), F.round(F.max(x) - F.min(x), 4).alias("spread"),
     )
+    both = whole.crossJoin(exact_median(df, column).withColumn("median", F.round("median", 4)))
+    return both.select("n", "lo", "hi", "mean", "median", "std", "total", "spread")
 
 
 def learning_curve(audit: DataFrame) -> DataFrame:

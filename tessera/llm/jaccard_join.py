@@ -16,14 +16,14 @@ their sets' Jaccard similarity is ``num / den`` or more.
    holding the most tokens that any member has there; a quarter as many bins as tokens. The sum over
    bins of the smaller count is the most that a member of one group can share with one of another.
    Groups that share a key meet in the matrix, group with group, and most of them end there.
-5. Only groups that qualify are opened. The union of a large group says little, so its members also
-   form parts of about ``PART`` classes, each with a row of its own: parts of qualifying groups meet
-   first, then the members of qualifying parts, by their own bins. What is left is compared in full.
+5. Only groups that qualify are opened, the smaller one first: its members meet those of the other one
+   by a key from whose places in both sets enough may follow, so a group's size makes no pairs of its
+   own. Then their own bins decide, and what is left is compared in full.
 6. The links' connected components are the result; links found in step 5 join whole groups.
 
 A group of one class has that class's bins as its row, so 4 and 5 are one way for all sizes. No group
-is held by one task: its row is combined from its parts' rows, within partitions first, and the rest
-are joins and aggregates over (key, class), (key, group) and pairs.
+is held by one task: its row is combined within partitions first, and the rest are joins and aggregates
+over (key, class), (key, group) and pairs.
 
 Null and empty texts and those without words have no tokens and link with nothing. Repeated rows are
 members of one class. A null id belongs to the class of its text but names no component, and a class
@@ -51,7 +51,6 @@ SKETCH_ROWS = 2
 SKETCH_RANGES = 64
 SENT_IDS = 500_000
 ROWS_HELD = 32 << 20
-PART = 8
 _ROW_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BATCH_BYTES = 2 << 20
 
@@ -175,14 +174,6 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows([(c, *v) for c, v in held.items()])
 
 
-def _parts(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each class's group g and part: about PART classes of one group, or a class of its own."""
-    large = groups.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > PART)
-    part = F.xxhash64("label", F.pmod(F.xxhash64("c"), F.coalesce(F.ceil(F.col("size") / PART), F.lit(1))))
-    several = groups.join(limited(large, SENT_IDS), "label", "left").select("c", F.col("label").alias("g"), part.alias("part"))
-    return several.unionByName(classes.select("c").join(groups, "c", "left_anti").select("c", F.col("c").alias("g"), F.col("c").alias("part")))
-
-
 def _matrix(rows: DataFrame, by: str) -> DataFrame:
     """Rows (by, n, most, bins) as rows of the token-group matrix: c, n and most (sizes of the smallest and largest member), bins."""
     row = "c long, n int, most int, bins binary"
@@ -260,6 +251,20 @@ def _reach(n: str, i: str, m: str, num: int, den: int) -> Column:
     return (F.col(n) - F.col(i)) * (num + den) >= num * (F.col(n) + F.col(m))
 
 
+def _opened(qualifying: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes of qualifying groups that share a key from whose places in both sets enough may follow.
+
+    The group of fewer rows (key, c, n, i, g) is opened first, and its classes meet those of the other one by key.
+    """
+    size = lambda at, name: members.groupBy(F.col("g").alias(at)).agg(F.count("*").alias(name))
+    fewer = F.col("ra") <= F.col("rb")
+    sided = qualifying.join(size("a", "ra"), "a").join(size("b", "rb"), "b").select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("many"))
+    u = members.select(F.col("g").alias("few"), "key", F.col("c").alias("u"), "n", "i")
+    v = members.select(F.col("g").alias("many"), "key", F.col("c").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"))
+    met = sided.join(u, "few").join(v, ["many", "key"]).where(_fit("n", "m", num, den) & _reach("n", "i", "m", num, den) & _reach("m", "j", "n", num, den))
+    return met.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+
+
 def _merged(groups: DataFrame, extra: DataFrame, classes: DataFrame) -> DataFrame:
     """``groups`` (c, label) after further links (a, b) between ``classes``: only the groups that these meet are linked again."""
     own = written(classes.join(groups, "c", "left").select("c", F.coalesce("label", "c").alias("g")), "groups")
@@ -302,16 +307,12 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     met = x.join(y, "key").where(F.col("x.g") < F.col("y.g")).where(sizes_fit & enough("x.rest") & enough("y.rest"))
     met = met.select("key", F.col("x.g").alias("a"), F.col("y.g").alias("b"))
     asked = written(met.select("a", "b").distinct(), "asked")
-    held_by = written(_parts(classes, groups).join(ends(asked).withColumnRenamed("c", "g"), "g", "left_semi"), "parts")
-    parts = written(_matrix(classes.select("c", "n", "most", "bins").join(held_by, "c"), "part"), "matrix")
-    of_group = written(held_by.select("g", "part").distinct(), "rows")
-    matrix = written(_matrix(parts.withColumnRenamed("c", "part").join(of_group, "part"), "g"), "matrix")
+    held_by = classes.select("c", "n", "most", "bins").join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).join(ends(asked).withColumnRenamed("c", "g"), "g", "left_semi")
+    matrix = written(_matrix(held_by, "g"), "matrix")
     qualifying = written(_possible(asked, matrix, num, den), "qualifying")
     labels = groups
     if not qualifying.isEmpty():
-        inside = lambda pairs, of, group, member: pairs.join(of.select(F.col(group).alias("a"), F.col(member).alias("p")), "a").join(of.select(F.col(group).alias("b"), F.col(member).alias("q")), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
-        closer = written(_possible(inside(qualifying, of_group, "g", "part"), parts, num, den), "qualifying")
-        opened = inside(closer, held_by, "part", "c")
+        opened = written(_opened(qualifying, members, num, den), "opened")
         extra = linked(written(_possible(opened, classes, num, den), "pairs"))
         labels = groups if extra.isEmpty() else _merged(groups, extra, ends(extra))
     named = classes.select("c", "id").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))

@@ -38,12 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import from_planes, planes
 from tessera.llm.components import components
-from tessera.llm.store import limited, text_digest, written
+from tessera.llm.store import dropped, limited, text_digest, written
 from tessera.llm.text import mix, segments, utf8, window_hashes, word_hashes
 
 SKETCH_BITS = 20
@@ -251,6 +251,16 @@ def _reach(n: str, i: str, m: str, num: int, den: int) -> Column:
     return (F.col(n) - F.col(i)) * (num + den) >= num * (F.col(n) + F.col(m))
 
 
+def _shared(classes: DataFrame) -> DataFrame:
+    """key, c, n, i of the keys that several classes hold, with the key's hub: (i, c, n) of the class that has it earliest.
+
+    Most keys are of one class alone, so the rows are dealt by key once, and what one class alone holds ends there.
+    """
+    held = classes.where("id is not null").select("c", "n", F.posexplode("keys").alias("i", "key"))
+    key = Window.partitionBy("key")
+    return held.select("key", "c", "n", "i", F.count("*").over(key).alias("d"), F.min(F.struct("i", "c", "n")).over(key).alias("hub")).where("d > 1").drop("d")
+
+
 def _opened(qualifying: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes of qualifying groups that share a key from whose places in both sets enough may follow.
 
@@ -279,9 +289,14 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, num: int, d
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.col(text_col).cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(token_levels(rows.select("text"), words))
-    docs = written(rows.mapInArrow(_prefixes(words, num, den, levels), "id long, digest binary, n int, c long, keys array<long>, bins binary"), "prefixes")
-    classes = docs.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
-    classes = written(classes.withColumn("most", F.col("n")), "classes")
+    prefixes = written(rows.mapInArrow(_prefixes(words, num, den, levels), "id long, digest binary, n int, c long, keys array<long>, bins binary"), "prefixes")
+    firsts = prefixes.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
+    firsts = written(firsts, "firsts")
+    docs = written(prefixes.select("id", "digest", "n", "c"), "docs")
+    dropped(prefixes)
+    shared = written(_shared(firsts), "shared")
+    classes = written(firsts.select("c", "id", "n", F.col("n").alias("most"), "bins"), "classes")
+    dropped(firsts)
     ends = lambda p: p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -289,17 +304,17 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, num: int, d
         wanted = written(classes.select("c", "id").join(ends(pairs), "c"), "wanted")
         found = rows.select("id", "text").join(limited(wanted.select("id"), SENT_IDS), "id", "left_semi").select("text").mapInArrow(_whole(words), "c long, tokens array<long>")
         sets = written(found.join(wanted.select("c"), "c", "left_semi").dropDuplicates(["c"]), "sets")
-        return written(_linked(pairs, sets, num, den), "links")
+        out = written(_linked(pairs, sets, num, den), "links")
+        dropped(sets)
+        return out
 
-    held = classes.where("id is not null").select("c", "n", F.posexplode("keys").alias("i", "key"))
-    spread = held.groupBy("key").agg(F.count("*").alias("d"), F.min(F.struct("i", "c", "n")).alias("hub")).where("d > 1")
-    shared = written(held.join(spread.select("key", "hub"), "key"), "shared")
     star = shared.where("c != hub.c").where(_fit("n", "hub.n", num, den) & _reach("n", "i", "hub.n", num, den) & _reach("hub.n", "hub.i", "n", num, den))
     star = star.select(F.greatest("c", "hub.c").alias("a"), F.least("c", "hub.c").alias("b")).distinct()
     links = linked(written(_possible(star, classes, num, den), "pairs"))
     groups = components(links)
 
     members = written(shared.select("key", "c", "n", "i").join(groups, "c", "left").withColumn("g", F.coalesce("label", "c")).drop("label"), "members")
+    dropped(shared)
     per_key = members.groupBy("key", "g").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("rest"))
     x, y = per_key.alias("x"), per_key.alias("y")
     sizes_fit = (F.col("x.most") * den >= F.col("y.n") * num) & (F.col("y.most") * den >= F.col("x.n") * num)
@@ -315,6 +330,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, words: int, num: int, d
         opened = written(_opened(qualifying, members, num, den), "opened")
         extra = linked(written(_possible(opened, classes, num, den), "pairs"))
         labels = groups if extra.isEmpty() else _merged(groups, extra, ends(extra))
+    dropped(members)
     named = classes.select("c", "id").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     return docs.select("id", "digest", "n", "c"), named
 

@@ -46,4 +46,4 @@ def linked_by_keys(df: DataFrame, node: str, keys: str, salts: int = SALTS) -> D
     tops = held.groupBy("k", "s").agg(F.min("node").alias("node")).select("node", F.min("node").over(Window.partitionBy("k")).alias("least"))
     edges = near.select("node", "least").unionByName(tops).select(F.col("node").alias("a"), F.col("least").alias("b"))
     found = components(edges)
-    return df.select(F.col(node).alias("node")).join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return df.select(F.col(node).alias("node")).join(found.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

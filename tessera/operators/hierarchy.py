@@ -4,6 +4,7 @@ All nodes of a table are worked on at once. What goes along a path is found by d
 leads 2**k levels up is followed by itself, so a path takes as many rounds as the logarithm of its length.
 A node is a root if its parent is null. Nodes on a cycle, below one, or below a parent that is no
 node, reach no root: they are left out. Node ids are distinct and not null. An empty table gives an empty result.
+Joins are merges, as all their tables grow with the nodes and their guessed sizes fall short of the whole rows: none is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ FIELDS = ("description", "subtitle", "preview_url", "download_url", "redirect_ur
 def upward(nodes: DataFrame, node: str, parent: str, own: Column) -> DataFrame:
     """node, up, path of all rooted nodes: how many levels lie above, and whether ``own`` holds for it or any node above."""
     start = nodes.select(F.col(node).alias("node"), F.col(parent).alias("p"), F.coalesce(own, F.lit(False)).alias("path"))
-    missing = start.select("p").where("p is not null").distinct().join(start.select(F.col("node").alias("p")), "p", "left_anti")
+    missing = start.select("p").where("p is not null").distinct().join(start.select(F.col("node").alias("p")).hint("merge"), "p", "left_anti")
     start = lookup(start, missing.withColumn("lost", F.lit(True)), "p", "node", "left").withColumn("lost", F.coalesce("lost", F.lit(False)))
     now = start.select("node", F.when(~F.col("lost"), F.col("p")).alias("p"), F.when(F.col("p").isNull() | F.col("lost"), 0).otherwise(1).cast("long").alias("up"), "path", "lost")
     now = written(now, "up")
@@ -53,7 +54,7 @@ def depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
 def pruned(nodes: DataFrame, node: str, parent: str, dead: Column) -> DataFrame:
     """The rooted nodes for which ``dead`` holds neither itself nor above."""
     alive = upward(nodes, node, parent, dead).where("not path").select(F.col("node").alias(node))
-    return nodes.join(alive, node, "left_semi")
+    return nodes.join(alive.hint("merge"), node, "left_semi")
 
 
 def subtree_sums(nodes: DataFrame, node: str, parent: str, values: dict[str, Column]) -> DataFrame:
@@ -65,11 +66,11 @@ def subtree_sums(nodes: DataFrame, node: str, parent: str, values: dict[str, Col
     rooted = depths(nodes, node, parent)
     names = list(values)
     top = rooted.agg(F.max("depth")).first()[0]
-    own = nodes.join(rooted.select(node), node, "left_semi")
+    own = nodes.join(rooted.select(node).hint("merge"), node, "left_semi")
     now = written(own.select(F.col(node).alias("node"), F.col(parent).alias("p"), *(F.coalesce(v, F.lit(0)).alias(c) for c, v in values.items())), "sums")
     for k in range(int(top or 0).bit_length()):
         sent = now.where("p is not null").groupBy(F.col("p").alias("node")).agg(*(F.sum(c).alias(f"{c}__in") for c in names))
-        summed = now.join(sent, "node", "left").select("node", "p", *((F.col(c) + F.coalesce(f"{c}__in", F.lit(0))).alias(c) for c in names))
+        summed = now.join(sent.hint("merge"), "node", "left").select("node", "p", *((F.col(c) + F.coalesce(f"{c}__in", F.lit(0))).alias(c) for c in names))
         ahead = now.select(F.col("node").alias("p"), F.col("p").alias("pp"))
         now = written(lookup(summed, ahead, "p", "node", "left").select("node", F.col("pp").alias("p"), *names), "sums")
     return now.select(F.col("node").alias(node), *names)
@@ -109,7 +110,7 @@ def node_score(children: str = "n_children") -> Column:
 def with_children(nodes: DataFrame) -> DataFrame:
     """``nodes`` with n_children, the number of nodes that name one as parent."""
     count = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
-    return nodes.drop("n_children").join(count, "node_id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
+    return nodes.drop("n_children").join(count.hint("merge"), "node_id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
 
 
 def sibling_groups(nodes: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def merge_siblings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     scored = with_children(nodes)
     ranked = scored.withColumn("rank", F.struct(node_score().alias("score"), (-F.col("node_id")).alias("at")))
-    groups = written(ranked.join(sibling_groups(nodes), "node_id"), "groups")
+    groups = written(ranked.join(sibling_groups(nodes).hint("merge"), "node_id"), "groups")
     best = lambda value, test=None: F.max_by(value, F.when(test, F.col("rank")) if test is not None else F.col("rank"))
     titled = F.col("kind").isin("link", "course_section") & filled("title").isNotNull()
     badges = F.collect_set(F.struct("rank", "badges"))
@@ -139,7 +140,7 @@ def merge_siblings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # badges are few words: of each the best rank that has it, not all nodes' lists
     words = groups.select("first_id", "rank", F.posexplode("badges").alias("place", "badge")).groupBy("first_id", "badge").agg(F.max(F.struct("rank", (-F.col("place")).alias("place"))).alias("r"))
     united = words.groupBy("first_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "badge")), asc=False), lambda x: x["badge"]).alias("badges"))
-    merged = merged.join(united, "first_id", "left")
+    merged = merged.join(united.hint("merge"), "first_id", "left")
     title = F.when(F.col("kind").isin("page", "section") & F.col("__link").isNotNull(), F.col("__link")).otherwise(F.col("__title"))
     merged = merged.withColumn("title", title).withColumn("badges", F.coalesce("badges", F.array().cast("array<string>")))
     kept = lookup(groups.select("node_id", "first_id"), merged.select("first_id", F.col("node_id").alias("keep_id")), "first_id", "node_id").select("node_id", "keep_id")
@@ -188,17 +189,17 @@ def apply_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     rules = written(rules, "rules")
     if rules.isEmpty():
         return nodes
-    giving = nodes.join(rules.where("rule in ('promoted', 'collapsed')").select("node_id", "rule"), "node_id")
+    giving = nodes.join(rules.where("rule in ('promoted', 'collapsed')").select("node_id", "rule").hint("merge"), "node_id")
     rank = F.when(F.col("rule") == "promoted", 0).otherwise(1)
     given = giving.groupBy(F.col("parent_id").alias("node_id")).agg(*(F.min_by(filled(c), F.when(filled(c).isNotNull(), rank)).alias(f"__{c}") for c in FIELDS), F.min_by("badges", rank).alias("__b0"), F.max_by("badges", rank).alias("__b1"), F.max("n_meta").alias("__meta"))
     none = F.array().cast("array<string>")
     lists = F.array_distinct(F.concat(*(F.coalesce(c, none) for c in ("badges", "__b0", "__b1"))))
-    taken = nodes.join(given, "node_id", "left").select(
+    taken = nodes.join(given.hint("merge"), "node_id", "left").select(
         *(F.coalesce(filled(c), F.col(f"__{c}")).alias(c) if c in FIELDS else lists.alias(c) if c == "badges" else F.greatest(c, "__meta").alias(c) if c == "n_meta" else F.col(c) for c in nodes.columns)
     )
     lifted = rules.where("rule = 'collapsed'").select(F.col("node_id").alias("parent_id"), F.col("parent_id").alias("__up"))
     moved = lookup(taken, lifted, "parent_id", "node_id", "left").withColumn("parent_id", F.coalesce("__up", "parent_id")).drop("__up").select(*nodes.columns)
-    left = moved.join(rules.select("node_id"), "node_id", "left_anti")
+    left = moved.join(rules.select("node_id").hint("merge"), "node_id", "left_anti")
     return pruned(written(left, "left"), "node_id", "parent_id", F.lit(False))  # what hung on a dropped child reaches no root now
 
 

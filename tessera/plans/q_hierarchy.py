@@ -45,7 +45,7 @@ count(*) FILTER (kind IN ('document', 'google_drive', 'image')) AS n_assets, CAS
 def h02_sums(spark, sf_dir):
     n = nodes(spark, sf_dir)
     values = {"n_nodes": F.lit(1).cast("long"), "n_assets": F.col("kind").isin("document", "google_drive", "image").cast("long"), "meta": F.col("n_meta").cast("long")}
-    return H.subtree_sums(n, "node_id", "parent_id", values).join(H.depths(n, "node_id", "parent_id"), "node_id").select("node_id", "depth", *values)
+    return H.subtree_sums(n, "node_id", "parent_id", values).join(H.depths(n, "node_id", "parent_id").hint("merge"), "node_id").select("node_id", "depth", *values)
 
 
 @query("H02_pruned", f"""{_N}, alive AS (SELECT node_id FROM site_nodes WHERE parent_id IS NULL AND lower(title) <> 'perfil' UNION ALL

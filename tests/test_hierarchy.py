@@ -247,3 +247,16 @@ def test_each_rule(spark):
     left = {r.node_id: r for r in H.apply_rules(df, rules).collect()}
     assert set(left) == {0, 1, 15, 16, 21} and left[21].parent_id == 1
     assert (left[1].description, left[1].mime_type) == ("d", "m")
+
+
+def test_no_table_of_the_tree_is_gathered_on_the_driver(spark):
+    rows = site(5, 30)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    begun = max((store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())), default=-1)
+    H.presentable(spark.createDataFrame([tuple(r[c] for c in NAMES) for r in rows], SCHEMA), lambda: F.lower("title") == "noise").collect()
+    bus.waitUntilEmpty()
+    ran = store.executionsList()
+    plans = [x.physicalPlanDescription() for i in range(ran.size()) if (x := ran.apply(i)).executionId() > begun]
+    assert len(plans) > 20 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
